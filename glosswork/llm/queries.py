@@ -30,6 +30,15 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .rans import read_files, write_files
+
+    files, shared_table = write_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return read_files(files, shared_table)
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import chat_report
 
@@ -44,4 +53,4 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_secrets": op2_secrets, "op8_chat": op8_chat, "op9_simhash": op9_simhash, "op10_media": op10_media}
+QUERIES = {"op1_mix": op1_mix, "op2_secrets": op2_secrets, "op4_rans": op4_rans, "op8_chat": op8_chat, "op9_simhash": op9_simhash, "op10_media": op10_media}
