@@ -64,20 +64,20 @@ def hash_bucket(hex_key: Column, buckets: int) -> Column:
     return F.shiftright(head * F.lit(buckets).cast("long"), 32)
 
 
-def bucket_prefix(df: DataFrame, keys: list[str], bucket: str, order: list, value: str, out: str) -> DataFrame:
+def bucket_prefix(df: DataFrame, keys: list[str], bucket: str, order: list, value: str, out: str, total: str | None = None) -> DataFrame:
     """Add ``out``: the sum of ``value`` over all rows before this one, per ``keys``.
 
     Rows come in the order of (bucket, *order). A task sorts one bucket of one key, and the
     offsets of buckets are prefix sums of pre-aggregated totals: a key with most of all rows
-    is still spread over its buckets. ``keys`` and ``bucket`` must not be null.
+    is still spread over its buckets. ``keys`` and ``bucket`` must not be null. ``total`` names a
+    column for the sum over all rows of the key.
     """
     totals = df.groupBy(*keys, bucket).agg(F.sum(value).alias("_total"))
-    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, bucket, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
+    every = Window.partitionBy(*keys)
+    before = every.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    sums = [F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset")]
+    sums += [F.sum("_total").over(every).alias(total)] if total else []
+    offsets = totals.select(*keys, bucket, *sums)
     inside = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = df.withColumn(out, F.coalesce(F.sum(value).over(inside), F.lit(0)))
     return placed.join(offsets, [*keys, bucket]).withColumn(out, F.col(out) + F.col("_offset")).drop("_offset")
-
-
-def crc32_unsigned(column: Column) -> Column:
-    return F.crc32(column)

@@ -39,6 +39,12 @@ def op4_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_files(files, shared_table)
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_documents
+
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import chat_report
 
@@ -53,4 +59,4 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_secrets": op2_secrets, "op4_rans": op4_rans, "op8_chat": op8_chat, "op9_simhash": op9_simhash, "op10_media": op10_media}
+QUERIES = {"op1_mix": op1_mix, "op2_secrets": op2_secrets, "op4_rans": op4_rans, "op5_sharding": op5_sharding, "op8_chat": op8_chat, "op9_simhash": op9_simhash, "op10_media": op10_media}
