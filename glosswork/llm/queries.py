@@ -30,6 +30,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,4 +65,4 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_secrets": op2_secrets, "op4_rans": op4_rans, "op5_sharding": op5_sharding, "op8_chat": op8_chat, "op9_simhash": op9_simhash, "op10_media": op10_media}
+QUERIES = {"op1_mix": op1_mix, "op2_secrets": op2_secrets, "op3_toxicity": op3_toxicity, "op4_rans": op4_rans, "op5_sharding": op5_sharding, "op8_chat": op8_chat, "op9_simhash": op9_simhash, "op10_media": op10_media}
