@@ -51,6 +51,12 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import contaminated_pairs
 
@@ -71,4 +77,4 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_secrets": op2_secrets, "op3_toxicity": op3_toxicity, "op4_rans": op4_rans, "op5_sharding": op5_sharding, "op7_decontamination": op7_decontamination, "op8_chat": op8_chat, "op9_simhash": op9_simhash, "op10_media": op10_media}
+QUERIES = {"op1_mix": op1_mix, "op2_secrets": op2_secrets, "op3_toxicity": op3_toxicity, "op4_rans": op4_rans, "op5_sharding": op5_sharding, "op6_quality": op6_quality, "op7_decontamination": op7_decontamination, "op8_chat": op8_chat, "op9_simhash": op9_simhash, "op10_media": op10_media}
