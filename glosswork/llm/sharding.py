@@ -35,23 +35,35 @@ def quotas(total: int, shards: int) -> list[int]:
 def grant(wishes: dict[tuple[int, int], int], loads: list[int], limits: list[int]) -> dict[tuple[int, int], int]:
     """The most of each wish (from, to) such that no load passes its limit.
 
-    Inflows of overfull shards are cut in proportion until nothing is; what a cut keeps at home
-    may overfill that shard, so it is done again. Grants only shrink and granting nothing is
-    feasible, so it ends.
+    Inflows of overfull shards are cut in proportion until none is; what a cut keeps at home may
+    overfill that shard, so it is done again. Cuts only shrink grants and granting nothing is
+    feasible, so that ends; then room that is left is given out, which only grows grants.
     """
     granted = dict(wishes)
-    while True:
-        cut = False
-        for to, limit in enumerate(limits):
-            inflow = sum(v for (_, t), v in granted.items() if t == to)
-            outflow = sum(v for (f, _), v in granted.items() if f == to)
-            room = max(0, limit - loads[to] + outflow)
-            if inflow > room:
-                cut = True
-                for key in [k for k in granted if k[1] == to]:
-                    granted[key] = granted[key] * room // inflow
-        if not cut:
-            return granted
+
+    def room(to: int) -> int:
+        moved = sum(v * ((t == to) - (f == to)) for (f, t), v in granted.items())
+        return limits[to] - loads[to] - moved
+
+    over = [to for to in range(len(limits)) if room(to) < 0]
+    while over:
+        for to in over:
+            into = [k for k in granted if k[1] == to]
+            inflow = sum(granted[k] for k in into)
+            most = max(0, inflow + room(to))
+            for k in into:
+                granted[k] = granted[k] * most // max(1, inflow)
+        over = [to for to in range(len(limits)) if room(to) < 0 and any(granted[k] for k in granted if k[1] == to)]
+    # what the cuts rounded off, and what later cuts made room for, is granted after all
+    again = True
+    while again:
+        again = False
+        for (f, to), wish in sorted(wishes.items()):
+            more = min(wish - granted[f, to], room(to))
+            if more > 0:
+                granted[f, to] += more
+                again = True
+    return granted
 
 
 def propagate(cells: DataFrame, limits: list[int], buckets: int, rounds: int = ROUNDS) -> DataFrame:
