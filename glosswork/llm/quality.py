@@ -134,7 +134,7 @@ class LabelModel:
             rates = (rates + 1) / (rates + 1).sum(axis=2, keepdims=True)
             model = cls(rates, float((weights[1].sum() + 1) / (counts.sum() + 2)))
             new = model.posterior(patterns)
-            if np.abs(new - posterior).max() < 1e-9:
+            if np.abs(new - posterior).max(initial=0.0) < 1e-9:
                 break
             posterior = new
         return model
