@@ -315,6 +315,15 @@ def lsw_step(tokens: DataFrame, parameters: DataFrame) -> DataFrame:
     return rows.withColumn("d", F.col("windows") * F.col("d") / F.col("total")).groupBy("l", "m", "r").agg(F.sum("d").alias("d")).where("d > 0")
 
 
+def train_lsw(tokens: DataFrame, iterations: int = 4, forbid=(), enforce=None) -> DataFrame:
+    """The initial parameters and steps of EM; tables have at most the cube of the tag set's rows."""
+    parameters = lsw_initial(tokens, forbid, enforce)
+    for _ in range(iterations):
+        held = [tuple(r) for r in lsw_step(tokens, parameters).collect()]
+        parameters = tokens.sparkSession.createDataFrame(held, "l string, m string, r string, d double")
+    return parameters
+
+
 def lsw_choices(tokens: DataFrame, parameters: DataFrame) -> DataFrame:
     """(left, mid, right, windows, tag): the middle tag with the largest sum, the first of equals."""
     rows = _expanded(_window_classes(tokens)).join(parameters, ["l", "m", "r"], "left")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions.case import getcase_col
 from .operators import align, caps, dictionary, lookups, multiple, perceptron, streamops, tokens as tok, transfer
 from .plans.pipeline import Pipeline, Registry, Step, with_word_blanks
-from .queries import QUERIES, TOKENS, WORDS, documents, query, table, toks
+from .queries import QUERIES, TOKENS, WORDS, documents, query, spread, table, toks
 from .sources import corpora, formats
 from .streaming import segments
 
@@ -171,7 +171,7 @@ def q_unknown_words(spark, sf_dir):
 
 
 def _pages(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", "html")
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html"))
 
 
 @query()
@@ -317,6 +317,8 @@ def q_stream_equals_batch(spark, sf_dir):
     held = table(spark, sf_dir, "documents")
     schema = ", ".join(f"{n} {t}" for n, t in held.dtypes)
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     root = f"{named}/q-stream-{spark.sparkContext.startTime}-{id(held)}" if named else tempfile.mkdtemp()
     stream = segments.process(segments.read(spark, f"{sf_dir}/documents.parquet*", schema), streamops.posttransfer, "text")
     segments.write(stream.select("doc_id", "text"), f"{root}/out", f"{root}/state").awaitTermination()

@@ -135,6 +135,13 @@ def test_alignment_filters(spark):
     assert got == {1: [(0, 0), (1, 1), (2, 2)], 2: [], 3: []}
 
 
+def test_blanks_and_second_alignment():
+    assert align.compatible_blanks("[a]x[b]", "[a] y [b]") and not align.compatible_blanks("[a]x", "x[b]") and align.compatible_blanks("[a]x", "x[b]", lazy=True)
+    source, target = [["eins"], ["zwei", "drei"], ["vier"]], [["one"], ["two", "three"], ["four"]]
+    scores = align.translated_scores(source, target, {"eins": "one", "zwei": "two", "drei": "three", "vier": "four"})
+    assert align.align(source, target, scores=scores)[0] == [(0, 0), (1, 1), (2, 2), (3, 3)]
+
+
 def test_units_and_memories(spark):
     assert align.split_sentences("Hi there. [<b>]You? Yes!Go 3.5") == ["Hi there.", "<ph/>You?", "Yes!", "Go 3.5"]
     assert align.xml_unit("<ph/> a < b <ph/>c.") == "a &lt; b <ph/>c" and align.is_unit("One two three four") and not align.is_unit("12 13 14 a b")

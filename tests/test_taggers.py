@@ -130,6 +130,10 @@ def test_sliding_windows(corpus):
     assert len(tags) == sum(len(s) - 1 for s in CORPUS) and tags[0, 0] == "det"
 
 
+def test_sliding_window_training(corpus):
+    assert math.isclose(sum(r.d for r in tagger.train_lsw(corpus, 2).collect()), sum(len(s) - 1 for s in CORPUS))
+
+
 def test_coefficient_depends_on_the_order():
     assert tagger.coefficient([1, 2, 4]) == 8 and tagger.coefficient([4, 2, 1]) == 4 and tagger.coefficient([]) == 1 and tagger.coefficient([2, 3, 6]) == 6
 
