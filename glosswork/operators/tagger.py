@@ -27,7 +27,7 @@ def ambiguity_classes(tokens: DataFrame, open_class: Iterable[str] = OPEN_CLASS,
     """(class, tags): those seen, the open class, and each tag by itself."""
     spark = tokens.sparkSession
     seen = tokens.select("class").distinct()
-    every = tokens.select(F.explode("tags").alias("class")).distinct()
+    every = seen.select(F.explode(F.split("class", r"\|")).alias("class"))
     named = [*tags, "|".join(sorted(open_class)), *open_class, START]
     more = spark.createDataFrame([(t,) for t in sorted(set(named))], "class string")
     return seen.union(every).union(more).distinct().withColumn("tags", F.split("class", r"\|"))
@@ -59,10 +59,11 @@ def _previous(tokens: DataFrame, column: str, start: str = START) -> DataFrame:
 
 def kupiec_counts(tokens: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Class counts (class, n) and pair counts (previous, class, n); each starts at one."""
-    pairs = _previous(tokens, "class").groupBy("previous", "class").agg(F.count(F.lit(1)).alias("n"))
-    names = sorted(r["class"] for r in classes.select("class").collect())  # as few as the tag set allows
-    grid = tokens.sparkSession.createDataFrame([(p, c) for p in names for c in names], "previous string, class string")
-    pairs = grid.join(pairs, ["previous", "class"], "left").select("previous", "class", (F.coalesce("n", F.lit(0)) + 1).alias("n"))
+    # one scan; the counts, and the classes, are as few as the tag set allows
+    seen = {(r["previous"], r["class"]): r["n"] for r in _previous(tokens, "class").groupBy("previous", "class").agg(F.count(F.lit(1)).alias("n")).collect()}
+    names = sorted(r["class"] for r in classes.select("class").collect())
+    rows = [(p, c, seen.get((p, c), 0) + 1) for p in names for c in names]
+    pairs = tokens.sparkSession.createDataFrame(rows, "previous string, class string, n long")
     single = pairs.groupBy("previous").agg((F.sum(F.col("n") - 1) + 1).alias("n")).withColumnRenamed("previous", "class")
     return single, pairs
 
