@@ -20,12 +20,14 @@ empty result. Only the named columns of the input are read.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,62 +42,95 @@ BLOCK, SEGMENT, LANES = 1 << 18, 1 << 20, 2048
 _LOW = np.uint64(1 << 31)
 _HEAD, _BLOCK = struct.Struct("<4sBBHIIIQ"), struct.Struct("<IIIII")
 #: Words whose ids a worker keeps.
-CACHED = 600_000
+CACHED = 800_000
+#: Marks that end a run of letters and form one run together.
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordEncoder:
     """A tokenizer whose pre-tokenizer never joins what blanks part, with a cache of words.
 
     The tokenizer lower-cases, drops white space and cuts runs of letters, so the ids of a text are
-    those of its words, one after another, and the ids of a word those of its runs.
+    those of its words, one after another, and the ids of a word those of its runs. Runs that its
+    normalizer leaves as they are go straight to the library's model; all others through the whole.
     """
 
     RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model, self.letters = self.tokenizer.model, {}
+        self.bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        added = [re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile(b"|".join(added) or b"(?!)")
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.runs: dict[str, tuple[int, ...]] = {}
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[bytes, int] = {}
-        self.runs: dict[str, list[int]] = {}
         self.flat = np.zeros(1 << 20, np.uint32)
         self.starts = np.zeros(1 << 18, np.int64)
         self.sizes = np.zeros(1 << 18, np.int64)
         self.used = 0
 
-    def _runs_of(self, word: bytes) -> list[str]:
+    def _run(self, run: str) -> tuple[int, ...]:
+        """The ids of a run that the tokenizer's normalizer and pre-tokenizer leave whole."""
+        found = self.runs.get(run)
+        if found is None:
+            if len(self.runs) > CACHED:
+                self.runs.clear()
+            mapped = run
+            if not run.isascii():
+                letters = self.letters
+                for c in set(run).difference(letters):
+                    letters[c] = self.bytes_of(c)[0][0]
+                mapped = "".join([letters[c] for c in run])
+            found = self.runs[run] = tuple([t.id for t in self.model.tokenize(mapped)])
+        return found
+
+    def _ids(self, word: bytes) -> tuple[int, ...]:
+        if word.isalpha():  # ASCII letters only
+            return self._run(word.lower().decode())
+        body = word.rstrip(MARKS)
+        if body.isalpha():
+            return self._run(body.lower().decode()) + self._run(word[len(body) :].decode())
         text = word.decode()
-        if any(a in word for a in self.added):
-            return [text]
-        if text.isascii():
-            return self.RUNS.findall(text.lower()) if text.isprintable() else [text]
-        body = text.rstrip("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
-        if body and len(body) < len(text) and body.isalpha() and unicodedata.is_normalized("NFC", body):
-            return [body, text[len(body) :]]
-        return [text]
+        if not self.added.search(word):
+            if text.isascii():
+                if text.isprintable():
+                    return tuple([i for r in self.RUNS.findall(text.lower()) for i in self._run(r)])
+            else:
+                body = text.rstrip(MARKS.decode())
+                if body.isalpha() and body.lower() == body and unicodedata.is_normalized("NFC", body):
+                    rest = text[len(body) :]
+                    return self._run(body) + (self._run(rest) if rest else ())
+        return tuple(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _learn(self, words: list[bytes]) -> None:
-        runs = [self._runs_of(w) for w in words]
-        new = list({r for own in runs for r in own}.difference(self.runs))
-        for run, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.runs[run] = found.ids
-        ids = [[i for r in own for i in self.runs[r]] for own in runs]
-        sizes = np.array([len(x) for x in ids], np.int64)
-        first, end = len(self.place), self.used + int(sizes.sum())
+        collecting = gc.isenabled()
+        gc.disable()  # no cycles here, but many small objects
+        try:
+            ids, sizes = [], []
+            for own in map(self._ids, words):
+                ids.extend(own)
+                sizes.append(len(own))
+        finally:
+            if collecting:
+                gc.enable()
+        first, end = len(self.place), self.used + len(ids)
         while end > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while first + len(words) > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-        self.flat[self.used : end] = [i for x in ids for i in x]
-        self.starts[first : first + len(words)] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[first : first + len(words)] = sizes
+        self.flat[self.used : end] = ids
+        counts = np.array(sizes, np.int64)
+        self.starts[first : first + len(words)] = self.used + np.cumsum(counts) - counts
+        self.sizes[first : first + len(words)] = counts
         self.used = end
         self.place.update(zip(words, range(first, first + len(words))))
 
@@ -104,11 +139,13 @@ class WordEncoder:
         if len(self.place) > CACHED:
             self.clear()
         split = [(t or "").encode().split() for t in texts]
-        words = [w for own in split for w in own]
-        new = list(set(words).difference(self.place))
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        words = list(chain.from_iterable(split))
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            unseen = [words[i] for i in missing.tolist()]
+            self._learn(list(set(unseen)))
+            at[missing] = np.fromiter(map(self.place.__getitem__, unseen), np.int64, len(unseen))
         sizes = self.sizes[at]
         stops = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.flat[np.repeat(self.starts[at] - stops[:-1], sizes) + np.arange(stops[-1])]
