@@ -38,11 +38,12 @@ from pyspark.sql import functions as F
 from .common import bucket_prefix, small_side, store
 
 #: Ids in a block, ids from which a file is closed, and most interleaved states.
-BLOCK, SEGMENT, LANES = 1 << 18, 1 << 20, 2048
-_LOW = np.uint64(1 << 31)
+BLOCK, SEGMENT, LANES = 1 << 19, 1 << 20, 4096
+#: States stay below 2 ** 52, so that their division is exact in floating point, which numpy does faster.
+_LOW, _MOST_BITS = np.uint64(1 << 20), 20
 _HEAD, _BLOCK = struct.Struct("<4sBBHIIIQ"), struct.Struct("<IIIII")
 #: Words whose ids a worker keeps.
-CACHED = 800_000
+CACHED, RUNS_CACHED = 800_000, 300_000
 #: Marks that end a run of letters and form one run together.
 MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -67,21 +68,39 @@ class WordEncoder:
         added = [re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile(b"|".join(added) or b"(?!)")
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.ints = list(range(self.size))
         self.runs: dict[str, tuple[int, ...]] = {}
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 20, np.uint32)
-        self.starts = np.zeros(1 << 18, np.int64)
-        self.sizes = np.zeros(1 << 18, np.int64)
+        self.starts = np.zeros(1 << 18, np.int32)
+        self.sizes = np.zeros(1 << 18, np.int32)
+        self.hits = np.zeros(1 << 18, np.int32)  # how often a word was met
         self.used = 0
 
+    def _make_room(self) -> None:
+        """Forget the words that were used least, half of the cache at least."""
+        n, least = len(self.place), 2
+        while (kept := np.flatnonzero(self.hits[:n] >= least)).size > CACHED // 2:
+            least *= 2
+        words = list(self.place)
+        starts, sizes = self.starts[kept], self.sizes[kept]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        total = int(ends[-1]) if len(kept) else 0
+        self.flat[:total] = self.flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
+        self.starts[: len(kept)], self.sizes[: len(kept)] = ends - sizes, sizes
+        self.hits[:] = 0
+        self.hits[: len(kept)] = 1
+        self.place = dict(zip([words[k] for k in kept.tolist()], range(len(kept))))
+        self.used = total
+
     def _run(self, run: str) -> tuple[int, ...]:
         """The ids of a run that the tokenizer's normalizer and pre-tokenizer leave whole."""
         found = self.runs.get(run)
         if found is None:
-            if len(self.runs) > CACHED:
+            if len(self.runs) > RUNS_CACHED:
                 self.runs.clear()
             mapped = run
             if not run.isascii():
@@ -89,7 +108,8 @@ class WordEncoder:
                 for c in set(run).difference(letters):
                     letters[c] = self.bytes_of(c)[0][0]
                 mapped = "".join([letters[c] for c in run])
-            found = self.runs[run] = tuple([t.id for t in self.model.tokenize(mapped)])
+            ints = self.ints  # one object for each id
+            found = self.runs[run] = tuple([ints[t.id] for t in self.model.tokenize(mapped)])
         return found
 
     def _ids(self, word: bytes) -> tuple[int, ...]:
@@ -127,6 +147,7 @@ class WordEncoder:
         while first + len(words) > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+            self.hits = np.concatenate([self.hits, np.zeros_like(self.hits)])
         self.flat[self.used : end] = ids
         counts = np.array(sizes, np.int64)
         self.starts[first : first + len(words)] = self.used + np.cumsum(counts) - counts
@@ -137,7 +158,7 @@ class WordEncoder:
     def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by ``end_id``, and how many each text has."""
         if len(self.place) > CACHED:
-            self.clear()
+            self._make_room()
         split = [(t or "").encode().split() for t in texts]
         words = list(chain.from_iterable(split))
         at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
@@ -146,9 +167,13 @@ class WordEncoder:
             unseen = [words[i] for i in missing.tolist()]
             self._learn(list(set(unseen)))
             at[missing] = np.fromiter(map(self.place.__getitem__, unseen), np.int64, len(unseen))
+        np.add.at(self.hits, at, 1)
         sizes = self.sizes[at]
-        stops = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.flat[np.repeat(self.starts[at] - stops[:-1], sizes) + np.arange(stops[-1])]
+        stops = np.zeros(len(words) + 1, np.int64)
+        np.cumsum(sizes, out=stops[1:])
+        place = np.repeat((self.starts[at] - stops[:-1]).astype(np.int32), sizes)
+        place += np.arange(stops[-1], dtype=np.int32)
+        ids = self.flat[place]
         ends = stops[np.cumsum([len(x) for x in split], dtype=np.int64)] if split else np.zeros(0, np.int64)
         counts = np.diff(ends, prepend=0) + 1
         return np.insert(ids, ends, end_id).astype(np.uint32), counts
@@ -169,8 +194,8 @@ class Table:
     def __init__(self, freq: np.ndarray) -> None:
         self.freq = freq.astype(np.uint64)
         self.bits = int(freq.sum()).bit_length() - 1
-        if int(freq.sum()) != 1 << self.bits:
-            raise ValueError("frequencies must sum to a power of two")
+        if int(freq.sum()) != 1 << self.bits or self.bits > _MOST_BITS:
+            raise ValueError(f"frequencies must sum to a power of two, of 2 ** {_MOST_BITS} at most")
         self.start = np.cumsum(self.freq, dtype=np.uint64) - self.freq
         self.symbol = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
         self.crc = zlib.crc32(freq.astype("<u4").tobytes())
@@ -198,7 +223,7 @@ def encode_block(ids: np.ndarray, table: Table) -> bytes:
     lanes = 1
     while lanes < LANES and lanes * 128 <= len(ids):
         lanes *= 2
-    bits, up = np.uint64(table.bits), np.uint64(63 - table.bits)
+    bits, up = np.uint64(table.bits), np.uint64(52 - table.bits)
     mask, half = np.uint64(0xFFFFFFFF), np.uint64(32)
     state, words = np.full(lanes, _LOW), []
     freqs, starts = table.freq[ids], table.start[ids]
@@ -207,11 +232,12 @@ def encode_block(ids: np.ndarray, table: Table) -> bytes:
     for at in range((len(ids) - 1) // lanes * lanes, -1, -lanes):
         f, s = freqs[at : at + lanes], starts[at : at + lanes]
         x = state[: len(f)]
-        over = x >= (f << up)
-        if over.any():
-            words.append((x[over] & mask).astype("<u4"))
-            x = np.where(over, x >> half, x)
-        q = x // f
+        over = np.flatnonzero(x >= (f << up))
+        if len(over):
+            full = x[over]
+            words.append((full & mask).astype("<u4"))
+            x[over] = full >> half
+        q = (x / f).astype(np.uint64)  # both are exact as floating point, and so is the whole part
         state[: len(f)] = (q << bits) + (x - q * f) + s
     stream = np.concatenate(words[::-1]) if words else np.zeros(0, "<u4")
     body = state.astype("<u8").tobytes() + stream.tobytes()

@@ -59,6 +59,20 @@ def test_word_encoder_equals_the_tokenizer(texts):
 
 _TOKENIZERS: dict = {}
 
+
+def test_words_are_the_same_after_the_cache_makes_room(monkeypatch):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [f"common words and word{k} or été{k % 7}, once{k * k}" for k in range(300)]
+    expected = [x.tolist() for x in rans.WordEncoder(path).encode(texts, 1)]
+    monkeypatch.setattr(rans, "CACHED", 40)
+    monkeypatch.setattr(rans, "RUNS_CACHED", 20)
+    small, ids, counts = rans.WordEncoder(path), [], []
+    for k in range(0, 300, 10):
+        a, b = small.encode(texts[k : k + 10], 1)
+        ids, counts = ids + a.tolist(), counts + b.tolist()
+    assert [ids, counts] == expected and len(small.place) <= 40 + 60
+
 TURN_TEXTS = st.one_of(TEXTS, st.lists(st.sampled_from([*chat.CONTROLS, "\\", " ", "ok", "\n", "[INST", "/INST]"]), max_size=8).map("".join))
 
 
