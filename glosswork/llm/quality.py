@@ -199,7 +199,7 @@ def score_and_pattern(weights: np.ndarray, text: Column) -> Column:
 
 
 def score_documents(docs: DataFrame, most_docs: int = MOST_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, posterior (of the label model), score, predicted (1: clean) of every document."""
+    """doc_id, posterior (of the label model), score, predicted (1: clean), keep of every document."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     votes = cut_lineage(rows.select("doc_id", pattern_column(F.col("text")).alias("pattern")))
     # at most 3 ** 9 rows
@@ -210,11 +210,12 @@ def score_documents(docs: DataFrame, most_docs: int = MOST_DOCS, id_col: str = "
     # the sample's ids are bounded by a parameter, so they may be broadcast
     key = F.md5(F.concat(F.lit("quality:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
     chosen = votes.where("pattern > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("pattern").alias("pattern")).orderBy(key, "doc_id").limit(most_docs)
-    sample = rows.join(F.broadcast(chosen.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id")).select("pattern", feature_column(F.col("text")).alias("f")).where("f is not null")
-    table = sample.toArrow()
-    features = np.frombuffer(b"".join(table.column("f").to_pylist()), "<f4").reshape(-1, DIMENSIONS)
-    weights = learn(features, np.array([posterior[p] for p in table.column("pattern").to_pylist()]))
+    sample = rows.join(F.broadcast(chosen.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id")).select("pattern", feature_column(F.col("text")).alias("f"))
+    # rows without features are left out here: as a filter that would be tried on all documents before the join
+    learned = [(p, f) for p, f in zip(*(c.to_pylist() for c in sample.toArrow().columns)) if f is not None]
+    features = np.frombuffer(b"".join(f for _, f in learned), "<f4").reshape(-1, DIMENSIONS)
+    weights = learn(features, np.array([posterior[p] for p, _ in learned]))
     lookup = F.create_map(*[x for p, v in posterior.items() for x in (F.lit(p), F.lit(v))]) if posterior else None
     scored = rows.select("doc_id", score_and_pattern(weights, F.col("text")).alias("s")).select("doc_id", "s.score", "s.pattern")
     prior = F.element_at(lookup, F.col("pattern")) if lookup is not None else F.lit(None).cast("double")
-    return scored.select("doc_id", prior.alias("posterior"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", prior.alias("posterior"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), (F.col("score") >= 0.5).alias("keep"))
