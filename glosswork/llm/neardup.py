@@ -1,0 +1,175 @@
+"""Near copies by exact similarity: the pipeline's rule, Jaccard 0.8 or more of five-word shingles.
+
+All pairs that reach the similarity are found. Two sets that reach it share a shingle among the first
+n - ceil(0.8 n) + 1 of each, in any one order of all shingles (prefix filtering), so only sets with
+such a shingle in common are compared, by their whole sets. The order puts common shingles last, by
+counts in a share of the texts; it decides how many pairs are compared, never which are found.
+
+Sets that share a shingle are first compared with one of them, another for each shingle, and the
+components of what is linked so are taken; then all pairs that are still in different components are
+compared. A large group of near copies is joined by the first step, without its square of pairs.
+
+Defined results: texts of fewer than five words are one shingle; texts without words (null, empty,
+blanks) are copies of each other; equal sets are copies. Shingles are told apart by 64-bit hashes.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import cut_lineage, small_side
+from .simhash import components, shingle_hashes
+
+WIDTH = 5
+#: The similarity as a fraction, so that it is tested in whole numbers.
+OVER, UNDER = 4, 5
+#: Texts in which common shingles are counted: all up to SAMPLE, an eighth at least beyond.
+SAMPLE, SHARE = 20_000, 8
+#: Bits by which pairs are ruled out before whole sets are compared.
+BITS = 1024
+#: Rows (two numbers each) up to which the texts to compare are named by a broadcast.
+WANTED = 500_000
+#: A shingle is common from this count in them; the most that are ordered by count.
+COMMON, MOST_COMMON = 3, 200_000
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, WIDTH), dtype=np.uint64))
+
+
+def prefix(own: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, one of which any set similar to it has among its own first."""
+    wanted = len(own) + (-OVER * len(own)) // UNDER + 1 if len(own) else 0
+    if not len(common) or not len(own):
+        return own[:wanted]
+    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+    return own[np.argsort(np.where(common[at] == own, counts[at], 0), kind="stable")[:wanted]]
+
+
+def parities(own: np.ndarray) -> np.ndarray:
+    """For each of BITS bits, whether an odd number of the shingles fall on it.
+
+    Two sets differ in at least as many shingles as these bits differ.
+    """
+    odd = np.bincount((own % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(bool)).view(np.uint64)
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
+
+
+def common_shingles(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Common shingles in order of their hashes, and their counts in the texts looked at."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                sets = [shingle_set(t) for t in batch.column(0).slice(at, 500).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["h"])
+
+    share = min(SHARE, max(1, docs.count() // SAMPLE))
+    texts = docs.select(text_col).where(F.pmod(F.xxhash64(F.col(text_col), F.lit(5)), F.lit(share)) == 0)
+    n = texts.mapInArrow(read, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    found = n.orderBy(F.desc("n"), "h").limit(MOST_COMMON).toArrow()
+    h, n = (np.asarray(found.column(i).to_numpy()) for i in range(2))
+    h = h.view(np.uint64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def shingle_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_hash, key (of the set), n (its size), odd (parities), first (its prefix) of every row."""
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_col))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = [shingle_set(t) for t in part.column(2).to_pylist()]
+                keys = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+                arrays = [part.column(0), part.column(1), pa.array(keys), pa.array([len(s) for s in sets], pa.int32()), _lists([parities(s) for s in sets]), _lists([prefix(s, *common.value) for s in sets])]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_hash", "key", "n", "odd", "first"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(read, "doc_id long, text_hash long, key long, n int, odd array<long>, first array<long>")
+
+
+def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            yield pa.RecordBatch.from_arrays([part.column(0), _lists([shingle_set(t) for t in part.column(1).to_pylist()])], names=["key", "whole"])
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Without the pairs whose parities differ too much: a similar pair differs in a ninth of its sizes at most."""
+    left, right = (nodes.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}")) for c in "ab")
+    differing = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return pairs.join(left, "a").join(right, "b").where((UNDER + OVER) * differing <= (UNDER - OVER) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """Those of the pairs (a, b) of keys whose whole sets reach the similarity."""
+    pairs = cut_lineage(_possible(pairs, nodes))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    wanted = small_side(cut_lineage(nodes.select("key", "text_hash").join(wanted, "key")), WANTED)
+    texts = docs.select(F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash")).join(wanted, "text_hash")
+    texts = texts.groupBy("key").agg(F.min("text").alias("text"))
+    sets = cut_lineage(texts.mapInArrow(_whole_sets, "key long, whole array<long>"))
+    left, right = (sets.select(F.col("key").alias(c), F.col("whole").alias(f"whole_{c}")) for c in "ab")
+    both = F.size(F.array_intersect("whole_a", "whole_b"))
+    enough = UNDER * both >= OVER * (F.size("whole_a") + F.size("whole_b") - both)
+    return cut_lineage(pairs.join(left, "a").join(right, "b").where(enough).select("a", "b"))
+
+
+def _near_sizes(x: str, y: str):
+    return UNDER * F.least(x, y) >= OVER * F.greatest(x, y)
+
+
+def similar_roots(rows: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(node, root) of the keys of ``rows`` that are similar to another, root the same in a component."""
+    nodes = cut_lineage(rows.groupBy("key").agg(F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("odd").alias("odd")))
+    tokens = rows.groupBy("key").agg(F.first("n").alias("n"), F.first("first").alias("first")).select("key", "n", F.explode("first").alias("token"))
+    alike = Window.partitionBy("token")
+    pivot = F.min(F.struct(F.xxhash64("token", "key").alias("h"), "key", "n")).over(alike)
+    shared = cut_lineage(tokens.withColumn("all", F.count(F.lit(1)).over(alike)).withColumn("p", pivot).where("all > 1").select("token", "key", "n", F.col("p.key").alias("pivot"), F.col("p.n").alias("pivot_n")))
+    ordered = lambda x, y: [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
+    pairs = cut_lineage(shared.where("key <> pivot").where(_near_sizes("n", "pivot_n")).select(*ordered("key", "pivot")).distinct())
+    edges = _similar(pairs, nodes, docs, text_col)
+    roots = small_side(components(edges))
+    held = shared.select("token", "key", "n").join(roots, F.col("key") == F.col("node"), "left").select("token", "key", "n", F.coalesce("root", "key").alias("root"))
+    apart = held.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("token")
+    held = cut_lineage(held.join(apart, "token"))
+    other = held.select("token", F.col("key").alias("key_b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
+    across = held.join(other, "token").where("key > key_b and root <> root_b").where(_near_sizes("n", "n_b")).select(*ordered("key", "key_b")).distinct()
+    more = _similar(across.join(pairs, ["a", "b"], "left_anti"), nodes, docs, text_col)
+    return components(edges.unionByName(more))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: one with its smallest id (null ids come last)."""
+    rows = cut_lineage(shingle_rows(docs, id_col, text_col))
+    roots = small_side(similar_roots(rows, docs, text_col))
+    marks = rows.select("doc_id", "text_hash", "key").join(roots, F.col("key") == F.col("node"), "left")
+    same = marks.groupBy(F.coalesce("root", "key").alias("root"), "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    first = same.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("kept"))
+    kept = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("text_hash") == F.col("kept.text_hash"))
+    # only rows that go, or of which one of several equal ones stays, are looked up
+    found = same.join(first, "root").withColumn("stays", kept).where("not stays or n > 1")
+    found = small_side(cut_lineage(found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("stays").alias("_stays"))), WANTED)
+    here = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_hash"))
+    joined, columns = docs.join(found, here, "left"), [F.col(c) for c in docs.columns]
+    rest = joined.where("_stays is null").select(*columns)
+    if found.where("_stays").limit(1).count() == 0:
+        return rest
+    again = joined.where("_stays").dropDuplicates(["_id", "_hash"])
+    return rest.unionByName(again.select(*columns))

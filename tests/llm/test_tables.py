@@ -310,6 +310,36 @@ def test_hot_buckets_are_tiled_without_losing_links(spark):
     assert all(got.get(d, d) == c for d, _, c in expected)
 
 
+def test_pipeline_drops_all_near_copies_by_five_word_similarity(spark, odd, none):
+    import random
+
+    import corpus_pipeline
+
+    rng, texts = random.Random(8), []
+    for _ in range(25):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(60, 250))]
+        texts.append(" ".join(base))
+        for share in (0.01, 0.02, 0.03, 0.05):
+            texts.append(" ".join("x" + w if rng.random() < share else w for w in base))
+    texts += [texts[0], "short text", "Short  text", "", None]
+
+    def near(a, b):
+        x, y = ({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in (a, b))
+        return x == y or len(x & y) >= 0.8 * len(x | y)
+
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if near(texts[i], texts[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    docs = spark.createDataFrame(rows(*texts), SCHEMA)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(label))
+    assert len(set(label)) < 100 and corpus_pipeline.drop_near_duplicates(spark, none, "").count() == 0
+    assert corpus_pipeline.drop_near_duplicates(spark, odd, "").columns == odd.columns
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(100)] + [(500, 501), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in simhash.components(edges).collect()}
