@@ -1,13 +1,14 @@
 """Benchmark decontamination by BM25 retrieval with block-max WAND.
 
 The test items are the inverted index, and every passage of every document is a query: windows of
-words, each overlapping the next by half, long enough that a copy of an item lies whole in one.
+words, three times the longest item's length at a stride of one, so that every span of twice that
+length lies whole in one. An item is held if any such span holds enough of it, wherever it starts.
 Impacts are divided by the least score that a passage can have which holds the wanted share of the
 item's five-word shingles, so all items with a score of one or more are retrieved, and no such
 passage is missed. A first, vectorised step takes the bound that WAND's pivot takes (the essential
 terms met, plus all that the frequent ones could add) for all passages at once; block-max WAND runs
 on the passages that can reach one. What it retrieves is verified: the share of the item's shingles,
-and of those of its question and of its answer, that the passage holds.
+and of those of its question and of its answer, that the best span holds.
 
 The question of an item is all but its last sentence, the answer the last one; an item of a single
 sentence is all question. An item of fewer than five words is one shingle.
@@ -20,6 +21,7 @@ own; an empty table on either side gives no match. Only the named columns are re
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -58,6 +60,7 @@ def question_and_answer(text: str) -> tuple[str, str]:
 class Item:
     item_id: int | None
     shingles: list[tuple[bytes, ...]]
+    times: Counter[tuple[bytes, ...]]
     question: set[tuple[bytes, ...]]
     answer: set[tuple[bytes, ...]]
 
@@ -66,9 +69,9 @@ class Index:
     """Items of one class of lengths, their postings with impacts, and the sizes of passages."""
 
     def __init__(self, rows: list[tuple[int | None, str | None]], longest: int) -> None:
-        self.stride = longest
+        self.stride, self.span = longest, 2 * longest
         texts = [(i, t, w) for i, t in rows if (w := words_of(t))]
-        self.items = [Item(i, shingles(w), *[set(shingles(words_of(x))) for x in question_and_answer(t)]) for i, t, w in texts]
+        self.items = [Item(i, shingles(w), Counter(shingles(w)), *[set(shingles(words_of(x))) for x in question_and_answer(t)]) for i, t, w in texts]
         lengths = np.array([len(w) for _, _, w in texts], float)
         counts = [dict(zip(*np.unique(np.array(w, object), return_counts=True))) for _, _, w in texts]
         self.terms = {t: k for k, t in enumerate(sorted({t for c in counts for t in c}))}
@@ -172,11 +175,40 @@ class Index:
                     if here(c) < item:
                         move(c, item)
 
-    def _held(self, own: list[bytes], items: list[int]) -> set[tuple[bytes, ...]]:
-        """The word runs of a passage, of every length that shingles of the items have."""
-        lengths = {len(s) for j in items for part in (self.items[j].shingles, self.items[j].question, self.items[j].answer) for s in part}
+    def _held(self, own: list[bytes], parts: list[set[tuple[bytes, ...]]]) -> set[tuple[bytes, ...]]:
+        """The word runs of a span, of every length that shingles of the parts have."""
+        lengths = {len(s) for part in parts for s in part}
         return {tuple(own[x : x + m]) for m in lengths for x in range(len(own) - m + 1)}
 
+    def _best_span(self, own: list[bytes], j: int, runs: list[tuple[bytes, ...]], starts: int) -> tuple | None:
+        """(overlap, score, question, answer) of the best span that starts at one of the first ``starts`` words."""
+        item = self.items[j]
+        width, total = len(item.shingles[0]), len(item.shingles)
+        places = [x for x, run in enumerate(runs) if run in item.times]
+        inside: Counter[tuple[bytes, ...]] = Counter()
+        held, end, best = 0, 0, None
+        for x in places:
+            if x >= starts:
+                break
+            while end < len(places) and places[end] + width <= x + self.span:
+                run = runs[places[end]]
+                held += item.times[run] if not inside[run] else 0
+                inside[run] += 1
+                end += 1
+            overlap = held / total
+            if overlap >= OVERLAP - 1e-9 and (best is None or overlap >= best[0]):
+                passage = own[x : x + self.span]
+                terms = sorted({i for i in map(self.terms.get, passage) if i is not None})
+                score = dict(self.search(terms))[j] * float(self.least[j])
+                parts = self._held(passage, [item.question, item.answer])
+                found = (overlap, score, *[sum(s in parts for s in part) / len(part) if part else 1.0 for part in (item.question, item.answer)])
+                best = found if best is None else max(best, found)
+                if held == total:  # all words are there: no span has more
+                    break
+            inside[runs[x]] -= 1
+            held -= item.times[runs[x]] if not inside[runs[x]] else 0
+        return best
+
     def matches(self, texts: list[str | None]) -> list[list[tuple]]:
         """Of every text: (item_id, score, overlap, question_overlap, answer_overlap), verified."""
         out: list[list[tuple]] = [[] for _ in texts]
@@ -197,33 +229,33 @@ class Index:
 
     def _chunk(self, words: list[list[bytes]], out: list[list[tuple]], first: int) -> None:
         sizes = np.array([len(w) for w in words], np.int64)
-        # a text of n words has windows 0 .. max(0, ceil(n / stride) - 2)
-        windows = np.maximum(1, -(-sizes // self.stride) - 1)
+        # a text of n words has windows 0 .. max(0, ceil(n / stride) - 3)
+        windows = np.maximum(1, -(-sizes // self.stride) - 2)
         base = np.cumsum(windows) - windows
         ids = np.fromiter((k for own in words for k in map(self.terms.get, own, repeat(-1))), np.int64, int(sizes.sum()))
         text = np.repeat(np.arange(len(words)), sizes)
         step = (np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)) // self.stride
         known = ids >= 0
         ids, text, step = ids[known], text[known], step[known]
-        late, early = step < windows[text], step > 0
-        window = np.concatenate([(base[text] + step)[late], (base[text] + step - 1)[early]])
-        hits = self.candidates(np.concatenate([ids[late], ids[early]]), window)
+        # a word is in the window that starts at its own stride and in the two before
+        inside = [(step >= back) & (step - back < windows[text]) for back in range(3)]
+        window = np.concatenate([(base[text] + step - back)[own] for back, own in enumerate(inside)])
+        hits = self.candidates(np.concatenate([ids[own] for own in inside]), window)
         best: dict[tuple[int, int], tuple] = {}
         for w in hits.tolist():
             k = int(np.searchsorted(base, w, "right")) - 1
             a = (w - int(base[k])) * self.stride
-            own = words[k][a : a + 2 * self.stride]
+            own = words[k][a : a + 3 * self.stride]
+            # later spans are looked for in the next window
+            starts = self.stride if a // self.stride + 1 < windows[k] else len(own)
             terms = sorted({i for i in map(self.terms.get, own) if i is not None})
-            retrieved = self.search(terms)
-            if retrieved:
-                held = self._held(own, [j for j, _ in retrieved])
-                for j, score in retrieved:
-                    item = self.items[j]
-                    overlap = sum(s in held for s in item.shingles) / len(item.shingles)
-                    if overlap >= OVERLAP - 1e-9:
-                        parts = [sum(s in held for s in part) / len(part) if part else 1.0 for part in (item.question, item.answer)]
-                        found = (overlap, score * float(self.least[j]), *parts)
-                        best[k, j] = max(found, best.get((k, j), found))
+            runs: dict[int, list[tuple[bytes, ...]]] = {}
+            for j, _ in self.search(terms):
+                m = len(self.items[j].shingles[0])
+                if m not in runs:
+                    runs[m] = [tuple(own[x : x + m]) for x in range(len(own) - m + 1)]
+                if found := self._best_span(own, j, runs[m], starts):
+                    best[k, j] = max(found, best.get((k, j), found))
         for (k, j), (overlap, score, question, answer) in sorted(best.items()):
             out[first + k].append((self.items[j].item_id, score, overlap, question, answer))
 

@@ -222,6 +222,20 @@ def test_decontamination_against_brute_force():
         assert {m[0] for m in found} == expected
 
 
+@pytest.mark.parametrize("size", [59, 64])
+def test_an_edited_copy_is_found_at_every_offset(size):
+    item = [f"i{k}" for k in range(size)]
+    index = decontam.Index([(7, " ".join(item))], 64)
+    for insertion in (1, 30, 54):
+        copy = item[:insertion] + [f"n{k}" for k in range(20)] + item[insertion:]
+        texts = [" ".join([f"a{k}" for k in range(at)] + copy + [f"z{k}" for k in range(250 - at)]) for at in range(251)]
+        assert {tuple(m[0] for m in found) for found in index.matches(texts)} == {(7,)}
+        assert len({m for found in index.matches(texts) for m in found}) == 1
+    # spread over more than twice the longest item's length, it is held nowhere
+    far = [" ".join([f"a{k}" for k in range(at)] + item[:30] + [f"n{k}" for k in range(130)] + item[30:] + ["z"] * (250 - at)) for at in range(251)]
+    assert index.matches(far) == [[]] * 251
+
+
 def test_question_and_answer():
     assert decontam.question_and_answer("What is it? A hill. A house.") == ("What is it? A hill. ", "A house.")
     assert decontam.question_and_answer("One sentence") == ("One sentence", "")
