@@ -162,6 +162,12 @@ def test_label_model_finds_accuracies():
     assert np.mean([(posterior[c] >= 0.5) == t for c, t in zip(codes.tolist(), truth)]) > 0.95
 
 
+def test_the_most_frequent_word_may_start_late_in_a_run():
+    values = quality.statistics(" ".join([f"w{k}" for k in range(40)] + ["again"] * 160))[0]
+    assert values[quality.STATISTICS.index("top_word")] == 0.8
+    assert next(l for l in quality.LABELLERS if l.name == "no word rules").vote(values) == 0
+
+
 def test_quality_of_plain_and_junk():
     assert quality.statistics(None) is None and quality.statistics(" \n") is None
     assert quality.pattern_of(None) == 0
