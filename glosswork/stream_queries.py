@@ -250,7 +250,7 @@ def q_edit_similar(spark, sf_dir):
     def alike(a, b):
         import pyarrow as pa
 
-        return pa.array([align.similar(x[:80], y[:80]) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
+        return pa.array([align.similar(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
 
     return turn_pairs(spark, sf_dir).select("conv_id", "turn", alike("a", "b").alias("alike"))
 

@@ -90,6 +90,29 @@ def test_scores():
     assert align.similar("short", "other") and align.similar("a" * 40, "a" * 39 + "b") and not align.similar("a" * 40, "b" * 40)
 
 
+def test_similarity_of_long_texts():
+    import random
+
+    def distance(a, b):
+        row = [2 * j for j in range(len(b) + 1)]
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], 2 * i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(last + (x != y), row[j] + 2, row[j - 1] + 2)
+        return row[-1]
+
+    rng, seen = random.Random(5), set()
+    for share in (0.05, 0.2, 0.25, 0.3, 0.35, 0.5, 1.0):
+        for size in (210, 300, 420):
+            a = "".join(rng.choice("abcdefgh ") for _ in range(size))
+            b = "".join(rng.choice(["", "x", "y", c + "z"]) if rng.random() < share else c for c in a)
+            d, long = distance(a, b), max(len(a), len(b))
+            assert align.edit_distance(a, b, 10**6) == d and align.edit_distance(list(a), list(b), 60) == min(d, 60)
+            assert align.similar(a, b) == (min(len(a), len(b)) / long > 0.85 and d < 0.30 * long)
+            seen.add(align.similar(a, b))
+    assert seen == {True, False} and not align.similar("a" * 400, "b" * 400) and not align.similar("a" * 80, "a" * 1800)
+
+
 def best_by_trying(source, target):
     def total(path):
         at, sum_ = (0, 0), 0.0
