@@ -35,15 +35,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Compute once into the shared checkpoint folder; Spark deletes the files when unused."""
+    """Compute once into the shared checkpoint folder.
+
+    Spark deletes the files when they are no longer used only where the cluster sets
+    spark.cleaner.referenceTracking.cleanCheckpoints; else they stay until the folder is emptied.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def store_path(spark: SparkSession, name: str) -> str:
+    """A new place below the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table that no later plan reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def store(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write as Parquet below the shared folder (or to ``path``) and read it back."""
     spark = df.sparkSession
-    path = path or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = path or store_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

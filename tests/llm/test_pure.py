@@ -1,8 +1,12 @@
 """Parts that run without Spark: coders, grammars, models."""
 
+import json
 import math
+from functools import cache
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -18,8 +22,8 @@ def test_blocks_decode_to_what_they_were_made_of(ids, seed):
     ids = np.array(ids, np.uint32)
     table = rans.Table.of(np.bincount(ids, minlength=400) + (np.arange(400) % seed == 0))
     data = rans.encode_block(ids, table)
-    back, stop = rans.decode_block(memoryview(data), 0, table)
-    assert back.tolist() == ids.tolist() and stop == len(data)
+    assert rans.decode_block(memoryview(data), 0, table).tolist() == ids.tolist()
+    assert rans.decode_block(memoryview(data), 0, table, len(ids) // 3, len(ids) // 2).tolist() == ids[len(ids) // 3 : len(ids) // 2].tolist()
 
 
 def test_files_keep_documents_and_notice_damage():
@@ -30,6 +34,8 @@ def test_files_keep_documents_and_notice_damage():
     doc_ids, has_id, sizes, back = rans.decode_file(data, table)
     assert (back == ids).all() and sizes.tolist() == lengths.tolist() and has_id.tolist() == [1, 1, 0, 1] and doc_ids.tolist() == [1, 2, 0, 9]
     assert len(data) < 700_000  # log2(50) bits an id
+    for a, b in ((0, 1), (rans.BLOCK - 3, rans.BLOCK + 5), (699_990, 700_000), (300_000, 650_000), (7, 7)):
+        assert rans.decode_ids(data, table, a, b).tolist() == ids[a:b].tolist()
     for at in (len(data) // 2, len(data) - 1):
         broken = bytearray(data)
         broken[at] ^= 1
@@ -44,35 +50,52 @@ def test_tables_of_odd_counts():
         assert all(table.freq[i] > 0 for i, c in enumerate(counts[:100]) if c)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 @given(st.lists(TEXTS, max_size=4))
 @settings(max_examples=80, deadline=None)
-def test_word_encoder_equals_the_tokenizer(texts):
+def test_encoder_equals_the_tokenizer(name, texts):
     public_tokenizers = pytest.importorskip("public_tokenizers")
-    from tokenizers import Tokenizer
-
-    path = public_tokenizers.path("word_bpe_49k.json")
-    whole = _TOKENIZERS.setdefault(path, Tokenizer.from_file(path))
-    ids, counts = rans.encoder(path).encode([*texts, None, "don't <|endoftext|> Émile's été, \x1c\x85 İ ΑΣ"], 1)
-    expected = [whole.encode(t or "", add_special_tokens=False).ids + [1] for t in [*texts, None, "don't <|endoftext|> Émile's été, \x1c\x85 İ ΑΣ"]]
+    path = public_tokenizers.path(name)
+    texts = [*texts, None, "", "don't <|endoftext|> Émile's été, \x1c\x85 İ ΑΣ", " Ünder-'LL!'s  x1 ", "".join(map(chr, range(1, 0x250)))]
+    ids, counts = rans.encoder(path).encode(pa.array(texts, pa.string()), 1)
+    expected = [_whole(path).encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
     assert ids.tolist() == [i for e in expected for i in e] and counts.tolist() == [len(e) for e in expected]
 
 
-_TOKENIZERS: dict = {}
+@cache
+def _whole(path):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
 
 
-def test_words_are_the_same_after_the_cache_makes_room(monkeypatch):
+def test_only_the_expected_settings_are_taken_by_runs(tmp_path):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert rans.TextEncoder(path).by_runs and not rans.TextEncoder(public_tokenizers.path("byte_bpe_50k.json")).by_runs
+    settings_ = json.loads(Path(path).read_text())
+    settings_["normalizer"]["normalizers"].pop()  # nothing is lower-cased any more
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(settings_))
+    coder = rans.TextEncoder(str(other))
+    text = "Some Words, and MORE of them"
+    assert not coder.by_runs
+    assert coder.encode(pa.array([text]), 1)[0].tolist() == [*_whole(str(other)).encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_ids_are_the_same_after_the_cache_is_emptied(monkeypatch):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     path = public_tokenizers.path("word_bpe_49k.json")
-    texts = [f"common words and word{k} or été{k % 7}, once{k * k}" for k in range(300)]
-    expected = [x.tolist() for x in rans.WordEncoder(path).encode(texts, 1)]
+    texts = [f"common words and word{k} or été{k % 7}, once{k * k} \u0153uvre{k}" for k in range(300)]
+    expected = [x.tolist() for x in rans.TextEncoder(path).encode(pa.array(texts), 1)]
     monkeypatch.setattr(rans, "CACHED", 40)
-    monkeypatch.setattr(rans, "RUNS_CACHED", 20)
-    small, ids, counts = rans.WordEncoder(path), [], []
-    for k in range(0, 300, 10):
-        a, b = small.encode(texts[k : k + 10], 1)
-        ids, counts = ids + a.tolist(), counts + b.tolist()
+    small, ids, counts = rans.TextEncoder(path), [], []
+    for a, b in rans._chunks(pa.array(texts), 300):
+        got = small.encode(pa.array(texts[a:b]), 1)
+        ids, counts = ids + got[0].tolist(), counts + got[1].tolist()
     assert [ids, counts] == expected and len(small.place) <= 40 + 60
 
+
 TURN_TEXTS = st.one_of(TEXTS, st.lists(st.sampled_from([*chat.CONTROLS, "\\", " ", "ok", "\n", "[INST", "/INST]"]), max_size=8).map("".join))
 
 
