@@ -1,7 +1,9 @@
 """SimHash near-duplicates by tiled exact comparison.
 
-Fingerprints that differ in at most ``radius`` bits agree in at least one of radius + 1 blocks of
-bits, so only fingerprints with an equal block meet. Each such bucket is compared exactly, tile
+Fingerprints that differ in at most ``radius`` bits agree in all but ``radius`` of any number of
+blocks of bits, so only fingerprints meet that are equal in that many blocks: in one of radius + 1,
+or, where there are so many fingerprints that 16 bits make large buckets, in 32 bits, three blocks of
+six. Each such bucket is compared exactly, tile
 against tile, with numpy's exclusive-or and bit counts; tile pairs whose population counts differ
 beyond the radius can hold no link and are skipped. Buckets larger than a tile are dealt out tile
 pair by tile pair, so that no task gets a whole hot bucket. A tile pair returns a spanning forest of
@@ -16,7 +18,7 @@ empty table. Only the named columns of the input are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, small_side
 
 RADIUS = 3
-BLOCKS = RADIUS + 1
+#: Fingerprints from which buckets have twice as many bits in common.
+MANY = 1 << 25
 SHINGLE = 3
 SEED = 42
 #: Most fingerprints on a side of a compared tile pair.
@@ -82,19 +85,19 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         while done < batch.num_rows:  # hashes of a slice of rows at a time, whatever the batch holds
             counts, hashes, row = [], [], done
             while row < batch.num_rows and (not counts or len(hashes) < 400_000):
-                own = shingle_hashes(batch.column(2)[row].as_py())
+                own = shingle_hashes(batch.column(1)[row].as_py())
                 counts.append(len(own))
                 hashes += own
                 row += 1
             found = majority_bits(np.array(hashes, dtype=np.uint64), np.array(counts, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0)[done:row], batch.column(1)[done:row], pa.array(found.view(np.int64))], names=["doc_id", "text_hash", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0)[done:row], pa.array(found.view(np.int64))], names=["doc_id", "fp"])
             done = row
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, fp of every row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_fingerprint_batches, "doc_id long, text_hash long, fp long")
+    """doc_id, fp of every row."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(_fingerprint_batches, "doc_id long, fp long")
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,11 +182,12 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
         yield from emit(compare(*rest))
 
 
-def fingerprint_links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def fingerprint_links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE, many: int = MANY) -> DataFrame:
     """Links (a > b) between the distinct fingerprints ``fp`` of ``nodes`` that span all links."""
-    blocks = radius + 1
-    width = 64 // blocks
-    keys = [F.shiftright(F.col("fp"), width * k).bitwiseAND(F.lit((1 << (width if k < blocks - 1 else 64 - width * k)) - 1)) for k in range(blocks)]
+    blocks = radius + 1 if nodes.count() < many else 2 * radius
+    edges = [64 * k // blocks for k in range(blocks + 1)]
+    masks = [sum(((1 << (edges[k + 1] - edges[k])) - 1) << edges[k] for k in own) for own in combinations(range(blocks), blocks - radius)]
+    keys = [F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")) for m in masks]
     rows = nodes.select("fp", F.bit_count("fp").alias("pop"), F.posexplode(F.array(*keys)).alias("block", "value"))
     rows = rows.select("fp", "pop", F.xxhash64("block", "value").alias("bucket"))
     # tiles of the hot buckets, by bit count: at most 65 entries for each, and few such buckets
@@ -227,35 +231,11 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _marked(docs: DataFrame, id_col: str, text_col: str, radius: int) -> DataFrame:
-    """doc_id, text_hash, fp, root, component_id of every row; root: a fingerprint, never null."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """doc_id, fp, component_id of every row; component_id: the smallest id that links reach."""
     rows = cut_lineage(fingerprints(docs, id_col, text_col))
     nodes = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(fingerprint_links(nodes.select("fp"), radius))
     member = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     whole = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(member.join(whole, "root").select("fp", "root", "component_id"), "fp")
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp, component_id of every row; component_id: the smallest id that links reach."""
-    return _marked(docs, id_col, text_col, radius).select("doc_id", "fp", "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each component: one with its smallest id (null ids come last).
-
-    Ids that differ only in their texts' hash are told apart; of equal rows one stays.
-    """
-    marks = _marked(docs, id_col, text_col, radius)
-    same = marks.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
-    first = same.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "n")).alias("kept"))
-    kept = cut_lineage(first.select(F.col("kept.doc_id").alias("_kept_id"), F.col("kept.text_hash").alias("_kept_hash"), F.col("kept.n").alias("_kept_n")))
-    here = F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")) & (F.xxhash64(F.col(text_col)) == F.col("_kept_hash"))
-    # the texts are on the streamed side of a hash join, so they're dealt out but never sorted
-    stays = docs.join(kept.hint("shuffle_hash"), here)
-    columns = [F.col(c) for c in docs.columns]
-    if kept.where("_kept_n > 1").limit(1).count() == 0:
-        return stays.select(*columns)
-    again = stays.where("_kept_n > 1").dropDuplicates(["_kept_id", "_kept_hash"])
-    return stays.where("_kept_n = 1").select(*columns).unionByName(again.select(*columns))
+    return rows.select("doc_id", "fp").join(member.join(whole, "root").select("fp", "component_id"), "fp")

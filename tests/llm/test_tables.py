@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from glosswork.llm import chat, decontam, media, mix, quality, rans, secrets, sharding, simhash, toxicity
+from glosswork.llm import chat, decontam, media, mix, quality, rans, secrets, sharding, simhash, simhash_similar, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard string, toxic string"
 LONG = "word " * 60_000
@@ -290,12 +290,37 @@ def test_near_duplicates_against_brute_force(spark, odd, none):
     docs = spark.createDataFrame(rows(*texts), SCHEMA)
     got = sorted(((r.doc_id, r.fp % 2**64, r.component_id) for r in simhash.near_duplicates(docs).collect()), key=str)
     assert got == brute_components([(k, fingerprint(t)) for k, t in enumerate(texts)])
-    assert sorted((r.doc_id for r in simhash.drop_near_duplicates(docs).collect())) == sorted({c for _, _, c in got})
     odd_rows = [(r.doc_id, fingerprint(r.text)) for r in odd.collect()]
     assert sorted(((r.doc_id, r.fp % 2**64, r.component_id) for r in simhash.near_duplicates(odd).collect()), key=str) == brute_components(odd_rows)
-    kept = simhash.drop_near_duplicates(odd).collect()
+    kept = simhash_similar.drop_near_duplicates(odd).collect()
     assert sorted((r.doc_id is None, r.doc_id) for r in kept) == [(False, 0), (False, 1), (False, 4), (False, 6), (True, None)]
-    assert simhash.near_duplicates(none).count() == 0 == simhash.drop_near_duplicates(none).count()
+    assert simhash.near_duplicates(none).count() == 0 == simhash_similar.drop_near_duplicates(none).count()
+
+
+def test_near_duplicates_keep_any_columns_and_choose_alike(spark):
+    schema = "doc_id long, text string, row string, id string, hash long, stays string, found_id int"
+    data = [(1, "a b c d e f", str(k), None, k, "x", 3) for k in range(6)] + [(2, "g h", None, None, None, None, None)]
+    kept = {tuple(simhash_similar.drop_near_duplicates(spark.createDataFrame(order, schema)).orderBy("doc_id").collect()) for order in (data, data[::-1])}
+    assert len(kept) == 1 and [r.doc_id for r in kept.pop()] == [1, 2]
+
+
+def test_tiles_find_what_brute_force_finds(spark):
+    import random
+
+    rng, base = random.Random(3), [f"w{k}" for k in range(200)]
+    docs = [" ".join(w if rng.random() > 0.015 else "x" + w for w in base) for _ in range(150)]
+    data = simhash_similar.shingle_rows(spark.createDataFrame(rows(*docs), SCHEMA))
+    nodes = data.select("key", "n", "odd")
+    held = nodes.select(F.explode(F.array(F.lit(1), F.lit(2))).alias("token"), "key", "n", F.pmod("key", F.lit(3)).alias("root"))
+    own = {r.key: (r.n, r.odd) for r in nodes.collect()}
+
+    def near(a, b):
+        return 9 * sum(((x ^ y) % 2**64).bit_count() for x, y in zip(own[a][1], own[b][1])) <= own[a][0] + own[b][0]
+
+    expected = {(a, b) for a in own for b in own if a > b and a % 3 != b % 3 and near(a, b)}
+    for tile in (4096, 20):  # whole buckets, and by pairs of tiles
+        assert {(r.a, r.b) for r in simhash_similar._tiled_pairs(held, nodes, tile).collect()} == expected
+    assert 100 < len(expected) < 7000
 
 
 def test_hot_buckets_are_tiled_without_losing_links(spark):
@@ -305,11 +330,12 @@ def test_hot_buckets_are_tiled_without_losing_links(spark):
     prefix = rng.getrandbits(48)
     values = {(rng.getrandbits(16) << 48 | prefix) for _ in range(300)} | {rng.getrandbits(64) for _ in range(100)}
     nodes = spark.createDataFrame([(v - 2**64 if v >= 2**63 else v,) for v in values], "fp long")
-    links = simhash.fingerprint_links(nodes, tile=32)
-    got = {r.node: r.root for r in simhash.components(links).collect()}
     ordered = sorted(values)
     expected = brute_components([(v - 2**64 if v >= 2**63 else v, v) for v in ordered])
-    assert all(got.get(d, d) == c for d, _, c in expected)
+    for many in (simhash.MANY, 1):  # buckets of 16 bits, and of 32
+        links = simhash.fingerprint_links(nodes, tile=32, many=many)
+        got = {r.node: r.root for r in simhash.components(links).collect()}
+        assert all(got.get(d, d) == c for d, _, c in expected)
 
 
 def test_pipeline_drops_all_near_copies_by_five_word_similarity(spark, odd, none):
