@@ -1,14 +1,19 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models of words and word pairs, one of toxic and one of ordinary texts, are fitted on labelled
-documents. An expression keeps counts of its own in each class only where the classes differ beyond
-chance; every other one, and all rare ones, take the shared backoff counts in both, so that they say
-nothing. A text's score is the difference of its two length-normalised log-likelihoods, put on a
-scale of probabilities by a logistic curve fitted on the same documents.
+Two interpolated Kneser-Ney models of word pairs, one of toxic and one of ordinary texts, are fitted on
+labelled documents. Each estimates a word after the one before it: discounted pair counts, then
+discounted numbers of distinct words that come before it in the class, then the same numbers over
+both classes, a backoff that the classes share. Discounts come from all counts of a class. Estimates
+of its own a class keeps, as in a pruned backoff model, only for expressions whose numbers of texts
+differ between the classes beyond chance; all others, and so all rare ones, are left to the shared
+backoff, which is alike in both models. Without pruning (``significant=-1, least=0, strong=0``) the
+models are plain Kneser-Ney ones. A text's score is the difference of its two length-normalised
+log-likelihoods, put on a scale of probabilities by a logistic curve fitted on the same documents.
 
 The fit reads at most ``most_docs`` documents of each class, in the order of a hash of their ids
 (a documented bound; scoring covers every whole text). Held-out ids, crc32(id) mod 5 = 0, are
-never read by the fit.
+never read by the fit. Ids with several rows count with each of their different texts, within the
+same bound.
 
 Defined results: a null or empty text, or one without known expressions, gets the score of no
 evidence; a null id counts as the empty string in the fold; of several labels of an id the largest
@@ -22,21 +27,27 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut_lineage
+
 MOST_DOCS = 4000
-#: Least G-squared (about 20: one in 100,000 by chance) and least count of an expression's own counts.
-SIGNIFICANT, LEAST = 20.0, 5
+#: Least G-squared (15: one in 10,000 by chance) and least number of texts of an expression's own estimates.
+SIGNIFICANT, LEAST = 15.0, 4
 #: Least difference of log odds: what is hardly likelier in a class says nothing about a text.
 STRONG = 1.0
 #: Mean evidence per word at which the scale bends from linear to logarithmic.
 BEND = 1e-3
 FOLDS = 5
 
+#: The word before the first, and the columns of counted grams.
+START, GRAMS = b"", ["head", "word", "toxic", "ordinary", "toxic_texts", "ordinary_texts"]
+
 _BLANKED = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
@@ -60,26 +71,29 @@ def g_squared(toxic, ordinary, share):
 
 @dataclass
 class Model:
+    """Log ratios of what the two models say, above the ``constant`` of a word without own estimates.
+
+    words: of the word by itself; heads: what its being after a head adds, unless pairs has the pair.
+    """
+
     words: dict[bytes, float] = field(default_factory=dict)
+    heads: dict[bytes, float] = field(default_factory=dict)
     pairs: dict[tuple[bytes, bytes], float] = field(default_factory=dict)
+    constant: float = 0.0
     slope: float = 0.0
     offset: float = -5.0
 
     def evidence(self, text: str | None) -> float:
-        """The mean over words of how much likelier the toxic model finds them, above the shared rest."""
+        """The mean over words of how much likelier the toxic model finds them, above the constant."""
         own = words_of(text)
         if not own:
             return 0.0
-        known = self.words
+        known, heads, pairs = self.words, self.heads, self.pairs
         total = math.fsum([known[w] for w in own if w in known])
-        if self.pairs:
-            heads = self.heads
-            total += math.fsum([self.pairs.get((v, w), 0.0) for v, w in zip(own, own[1:]) if v in heads])
+        if heads:
+            total += math.fsum([pairs.get((v, w), heads[v]) for v, w in zip(chain((START,), own), own) if v in heads])
         return total / len(own)
 
-    def __post_init__(self) -> None:
-        self.heads = {v for v, _ in self.pairs}
-
     def score(self, evidence: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * bend(evidence) + self.offset, -500, 500)))
 
@@ -88,51 +102,45 @@ def bend(evidence: np.ndarray) -> np.ndarray:
     return np.sign(evidence) * np.log1p(np.abs(evidence) / BEND)
 
 
-def discount(counts: np.ndarray) -> float:
-    """Kneser-Ney's absolute discount from the numbers of counts one and two."""
-    once, twice = int((counts == 1).sum()), int((counts == 2).sum())
-    return once / (once + 2 * twice) if once and twice else 0.5
+def discounts(n: list[int]) -> tuple[float, float, float]:
+    """Kneser-Ney's absolute discounts of counts one, two and more, from how many counts are 1, 2, 3, 4."""
+    if not (n[0] and n[1]):
+        return (0.75, 0.75, 0.75)
+    y = n[0] / (n[0] + 2 * n[1])
+    found = [k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else 0.75 for k in (1, 2, 3)]
+    return tuple(min(max(d, 0.1), k * 0.99) for k, d in enumerate(found, 1))
 
 
-def log_ratios(toxic: np.ndarray, ordinary: np.ndarray, totals: tuple[int, int]) -> np.ndarray:
-    """Log of p(toxic)/p(ordinary) of expressions with own counts, above that of all the others.
-
-    Each class: (count - D) / total + rest * shared, where ``rest`` is what discounting and the
-    expressions without counts of their own leave, and ``shared`` the pooled share.
-    """
-    pooled = (toxic + ordinary) / max(1, sum(totals))
-    logs, rests = [], []
-    for counts, total in zip((toxic, ordinary), totals):
-        own = np.maximum(counts - discount(counts), 0) / max(1, total)
-        rest = max(1e-9, 1 - own.sum())
-        logs.append(np.log(own + rest * pooled))
-        rests.append(math.log(rest))
-    return (logs[0] - logs[1]) - (rests[0] - rests[1])
+def discounted(count: int, by: tuple[float, float, float]) -> float:
+    return max(0.0, count - by[min(count, 3) - 1]) if count else 0.0
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many texts of each class words and pairs are: (head or null, word, toxic, ordinary)."""
-    found: tuple[Counter, Counter] = (Counter(), Counter())
+    """(head, word, toxic, ordinary, toxic_texts, ordinary_texts) of pairs; with a null head, of words."""
+    found: dict[tuple[bytes | None, bytes], list[int]] = {}
 
     def drain() -> Iterator[pa.RecordBatch]:
-        grams = list(found[0].keys() | found[1].keys())
-        columns = [pa.array([g[k] for g in grams], pa.binary()) for k in (0, 1)]
-        yield pa.RecordBatch.from_arrays([*columns, *[pa.array([found[c].get(g, 0) for g in grams], pa.int64()) for c in (1, 0)]], names=["head", "word", "toxic", "ordinary"])
-        found[0].clear()
-        found[1].clear()
+        columns = [pa.array([g[k] for g in found], pa.binary()) for k in (0, 1)]
+        numbers = np.array(list(found.values()), np.int64).reshape(-1, 4)
+        yield pa.RecordBatch.from_arrays([*columns, *[pa.array(numbers[:, k]) for k in range(4)]], names=GRAMS)
+        found.clear()
 
     for batch in batches:
-        for text, toxic in zip(batch.column(0), batch.column(1)):
-            own = words_of(text.as_py())
-            found[toxic.as_py()].update((None, w) for w in set(own))
-            found[toxic.as_py()].update(set(zip(own, own[1:])))
-            if len(found[0]) + len(found[1]) > 500_000:
+        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            own, at = words_of(text), 0 if toxic else 1
+            grams = Counter(zip(chain((START,), own), own))
+            grams.update(zip(repeat(None), own))
+            for g, n in grams.items():
+                held = found.setdefault(g, [0, 0, 0, 0])
+                held[at] += n
+                held[at + 2] += 1
+            if len(found) > 500_000:
                 yield from drain()
     yield from drain()
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most_docs: int = MOST_DOCS) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
-    """(text, toxic) of the sample; {class: (labelled, sampled)}. At most 2 x most_docs ids are broadcast."""
+    """(text, toxic) of the sample, different texts; {class: (labelled, sampled)}. At most 2 x most_docs ids are broadcast."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     known = known.where(fold(F.col("doc_id")) != 0)
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -141,49 +149,89 @@ def training_rows(docs: DataFrame, labels: DataFrame, most_docs: int = MOST_DOCS
         some = known.where(F.col("toxic") == c).orderBy(F.md5(F.concat(F.lit("toxicity:"), F.col("doc_id").cast("string")).cast("binary")), "doc_id").limit(most_docs)
         chosen = some if chosen is None else chosen.unionByName(some)
     sampled = {c: (sizes.get(c, 0), min(most_docs, sizes.get(c, 0))) for c in (0, 1)}
-    picked = F.broadcast(chosen.withColumnRenamed("doc_id", "_label_id"))
-    return docs.join(picked, F.col("doc_id") == F.col("_label_id")).select("text", "toxic"), sampled
+    picked = F.broadcast(chosen.withColumnRenamed("doc_id", "label_id"))
+    rows = docs.select("doc_id", "text").join(picked, F.col("doc_id") == F.col("label_id"))
+    rows = cut_lineage(rows.groupBy("text").agg(F.max("toxic").alias("toxic")))
+    if rows.count() > 2 * most_docs:
+        rows = rows.orderBy(F.xxhash64("text"), "text").limit(2 * most_docs)
+    return rows, sampled
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_docs: int = MOST_DOCS) -> Model:
+def _differing(grams: DataFrame, share: float, significant: float, least: int, strong: float) -> DataFrame:
+    t, o = F.col("toxic_texts"), F.col("ordinary_texts")
+    part = lambda x, q: F.when(x > 0, x * F.log(x / ((t + o) * q))).otherwise(0.0)
+    odds = F.abs(F.log((t + 0.5) / (o + 0.5)) - math.log(share / (1 - share)))
+    return grams.where(t + o >= least).where(odds >= strong).where(2 * (part(t, share) + part(o, 1 - share)) >= significant)
+
+
+def _how_often(columns: list[str]) -> list[Column]:
+    return [F.coalesce(F.sum((F.col(c) == k).cast("long")), F.lit(0)).alias(f"{c}_{k}") for c in columns for k in (1, 2, 3, 4)]
+
+
+def fit(docs: DataFrame, labels: DataFrame, most_docs: int = MOST_DOCS, significant: float = SIGNIFICANT, least: int = LEAST, strong: float = STRONG) -> Model:
     rows, sampled = training_rows(docs.select("doc_id", "text"), labels, most_docs)
     if not (sampled[0][0] and sampled[1][0]):
         share = (sampled[1][0] + 0.5) / (sampled[0][0] + sampled[1][0] + 1.5)
         return Model(offset=math.log(share / (1 - share)))
-    # continuation counts over texts: one that repeats a line counts once, and so do equal texts
-    grams = rows.dropDuplicates(["text"]).mapInArrow(_counts, "head binary, word binary, toxic long, ordinary long")
-    grams = grams.groupBy("head", "word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).persist()
-    totals = grams.where("head is null").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).first()
-    totals = (int(totals["toxic"] or 0), int(totals["ordinary"] or 0))
-    share = min(max(totals[0] / max(1, sum(totals)), 1e-9), 1 - 1e-9)
-    n = F.col("toxic") + F.col("ordinary")
-    part = lambda c, q: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (n * q))).otherwise(0.0)
-    odds = F.abs(F.log((F.col("toxic") + 0.5) / (F.col("ordinary") + 0.5)) - math.log(share / (1 - share)))
-    differing = grams.where(n >= LEAST).where(odds >= STRONG).where(2 * (part("toxic", share) + part("ordinary", 1 - share)) >= SIGNIFICANT)
-    # each is in LEAST texts of the bounded sample at least
-    found = [(r["head"] and bytes(r["head"]), bytes(r["word"]), r["toxic"], r["ordinary"]) for r in differing.collect()]
+    # the sample is small, but its counts aren't
+    spread = rows.repartition(docs.sparkSession.sparkContext.defaultParallelism, "text")
+    grams = spread.mapInArrow(_counts, "head binary, word binary, toxic long, ordinary long, toxic_texts long, ordinary_texts long")
+    grams = grams.groupBy("head", "word").agg(*[F.sum(c).alias(c) for c in GRAMS[2:]]).persist()
+    model = _compiled(grams, significant, least, strong)
     grams.unpersist()
-    model = Model()
-    singles = [f for f in found if f[0] is None]
-    if singles:
-        t, o = (np.array([f[k] for f in singles], float) for k in (2, 3))
-        model.words = dict(zip((f[1] for f in singles), log_ratios(t, o, totals).tolist()))
-    # a pair has counts of its own if its words alone don't explain them
-    own = []
-    for v, w, t, o in (f for f in found if f[0] is not None):
-        expected = model.words.get(v, 0.0) + model.words.get(w, 0.0)
-        odds = math.log(share / (1 - share)) + expected
-        if g_squared(np.float64(t), np.float64(o), min(max(1 / (1 + math.exp(-odds)), 1e-9), 1 - 1e-9)) >= SIGNIFICANT:
-            own.append((v, w, t, o, expected))
-    if own:
-        t, o = (np.array([f[k] for f in own], float) for k in (2, 3))
-        above = log_ratios(t, o, totals) - np.array([f[4] for f in own])
-        model.pairs = {(f[0], f[1]): float(x) for f, x in zip(own, above)}
-        model.__post_init__()
     _calibrate(model, rows, sampled)
     return model
 
 
+def _compiled(grams: DataFrame, significant: float, least: int, strong: float) -> Model:
+    pairs, singles = grams.where("head is not null"), grams.where("head is null")
+    both = ["toxic", "ordinary"]
+    seen = pairs.agg(*_how_often(both)).first()
+    contexts = pairs.groupBy("word").agg(*[F.sum((F.col(c) > 0).cast("long")).alias(c) for c in both], F.count(F.lit(1)).alias("either"))
+    before = contexts.agg(*_how_often(both), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (*both, "either")]).first()
+    incidences = singles.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in GRAMS[4:]]).first()
+    if not before["toxic"] or not before["ordinary"]:
+        return Model()
+    share = incidences["toxic_texts"] / (incidences["toxic_texts"] + incidences["ordinary_texts"])
+    by_pair, by_word = ([discounts([r[f"{c}_{k}"] for k in (1, 2, 3, 4)]) for c in both] for r in (seen, before))
+    # each is in ``least`` texts of the bounded sample at least
+    own_words = {bytes(r["word"]) for r in _differing(singles, share, significant, least, strong).select("word").collect()}
+    own_pairs = [(bytes(r["head"]), bytes(r["word"]), *(r[c] for c in GRAMS[2:])) for r in _differing(pairs, share, significant, least, strong).collect()]
+    if not own_words and not own_pairs:
+        return Model()
+    spark = grams.sparkSession
+    wanted = F.broadcast(spark.createDataFrame([(w,) for w in own_words | {w for _, w, *_ in own_pairs}], "word binary"))
+    known = {bytes(r["word"]): r for r in contexts.join(wanted, "word").collect()}
+    # the lower order: own shares of the words kept, the rest by the shared backoff
+    alone = [{w: discounted(known[w][c], by) / before[c] for w in own_words} for c, by in zip(both, by_word)]
+    rest = [max(1e-9, 1 - math.fsum(x.values())) for x in alone]
+
+    def lower(w: bytes) -> list[float]:
+        return [x.get(w, 0.0) + left * known[w]["either"] / before["either"] for x, left in zip(alone, rest)]
+
+    model = Model(constant=math.log(rest[0] / rest[1]))
+    for w in own_words:
+        t, o = lower(w)
+        model.words[w] = math.log(t / o) - model.constant
+    # a pair has estimates of its own if its word alone doesn't explain how its texts differ
+    kept: dict[bytes, dict[bytes, tuple[int, int]]] = {}
+    for v, w, t, o, in_t, in_o in own_pairs:
+        odds = math.log(share / (1 - share)) + model.words.get(w, 0.0) + model.words.get(v, 0.0)
+        if g_squared(np.float64(in_t), np.float64(in_o), min(max(1 / (1 + math.exp(-odds)), 1e-9), 1 - 1e-9)) >= significant:
+            kept.setdefault(v, {})[w] = (t, o)
+    if kept:
+        wanted = F.broadcast(spark.createDataFrame([(v,) for v in kept], "head binary"))
+        sizes = {bytes(r["head"]): r for r in pairs.join(wanted, "head").groupBy("head").agg(*[F.sum(c).alias(c) for c in both]).collect()}
+        for v, after in kept.items():
+            own = [{w: discounted(n[k], by_pair[k]) / sizes[v][c] if sizes[v][c] else 0.0 for w, n in after.items()} for k, c in enumerate(both)]
+            left = [max(1e-9, 1 - math.fsum(x.values())) for x in own]
+            model.heads[v] = math.log(left[0] / left[1])
+            for w in after:
+                t, o = lower(w)
+                model.pairs[v, w] = math.log((own[0][w] + left[0] * t) / (own[1][w] + left[1] * o)) - math.log(t / o)
+    return model
+
+
 def _calibrate(model: Model, rows: DataFrame, sampled: dict[int, tuple[int, int]]) -> None:
     """Two parameters by Newton's steps; a class weighs as among all labelled documents."""
     seen = rows.select(evidence_column(model, F.col("text")).alias("x"), "toxic").collect()  # the bounded sample

@@ -200,7 +200,7 @@ def test_quality_of_plain_and_junk():
 
 
 def test_evidence_is_length_normalised():
-    model = toxicity.Model({b"scum": 3.0}, {(b"you", b"scum"): 1.0}, 2.0, -3.0)
+    model = toxicity.Model({b"scum": 3.0}, {b"you": 0.0}, {(b"you", b"scum"): 1.0}, 0.0, 2.0, -3.0)
     assert model.evidence("You scum!") == 2.0 and math.isclose(model.evidence("scum " + "word " * 9), 0.3)
     assert model.evidence(None) == model.evidence("") == model.evidence("...") == 0.0
     assert model.score(np.array([0.0]))[0] < 0.5 < model.score(np.array([2.0]))[0] <= 1

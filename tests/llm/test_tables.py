@@ -154,6 +154,56 @@ def test_toxicity_learns_words_and_leaves_held_out_labels(spark):
     assert {r.doc_id for r in toxicity.drop_toxic(docs, labelled).collect()} == {k for k, _, t in marks if not t}
 
 
+def kneser_ney(texts):
+    """p(word | word before it) of a class by the textbook's formulas; backs off to ``shared``."""
+    pairs = Counter(p for t in texts for p in zip(["", *t], t))
+    contexts = Counter(w for _, w in pairs)
+
+    def less(counts):
+        n = [0, *[sum(c == k for c in counts.values()) for k in (1, 2, 3, 4)]]
+        y = n[1] / (n[1] + 2 * n[2])
+        return [0, *[min(max(k - (k + 1) * y * n[k + 1] / n[k] if n[k] else 0.75, 0.1), 0.99 * k) for k in (1, 2, 3)]]
+
+    d_pair, d_word, size = less(pairs), less(contexts), sum(contexts.values())
+
+    def cut(c, d):
+        return max(0, c - d[min(c, 3)])
+
+    def word(w, shared):
+        kept = sum(cut(c, d_word) for c in contexts.values())
+        return cut(contexts[w], d_word) / size + (1 - kept / size) * shared(w)
+
+    def after(v, w, shared):
+        n = sum(c for (x, _), c in pairs.items() if x == v)
+        if not n:
+            return word(w, shared)
+        kept = sum(cut(c, d_pair) for (x, _), c in pairs.items() if x == v)
+        return cut(pairs[v, w], d_pair) / n + (1 - kept / n) * word(w, shared)
+
+    return pairs, after
+
+
+def test_toxicity_without_pruning_is_kneser_ney(spark):
+    import random
+
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(300)]
+    weights = [[1 / (1 + k) * (3 if k % 7 == c else 1) for k in range(300)] for c in (0, 1)]
+    texts = {k: rng.choices(vocabulary, weights[k % 3 == 0], k=rng.randrange(5, 40)) for k in range(60)}
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string")
+    labelled = spark.createDataFrame([(k, int(k % 3 == 0)) for k in texts], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labelled, significant=-1.0, least=0, strong=0.0)
+    learnt = [k for k in texts if zlib.crc32(str(k).encode()) % 5]
+    (toxic, p_toxic), (ordinary, p_ordinary) = (kneser_ney([texts[k] for k in learnt if (k % 3 == 0) == c]) for c in (True, False))
+    either = Counter(w for _, w in set(toxic) | set(ordinary))
+    shared = lambda w: either[w] / sum(either.values())
+    checked = [t for t in texts.values() if all(w in either for w in t)]
+    assert len(checked) > 40
+    for t in checked:
+        expected = sum(math.log(p_toxic(v, w, shared) / p_ordinary(v, w, shared)) for v, w in zip(["", *t], t)) / len(t)
+        assert math.isclose(model.evidence(" ".join(t)) + model.constant, expected, rel_tol=1e-9, abs_tol=1e-9)
+
+
 def test_toxicity_of_odd_rows(odd, none, labels, spark):
     got = toxicity.score_documents(odd, labels).collect()
     assert len(got) == odd.count() and all(r.predicted == 0 and 0 <= r.score <= 1 for r in got)
