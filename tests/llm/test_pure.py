@@ -2,6 +2,7 @@
 
 import json
 import math
+import re
 from functools import cache
 from pathlib import Path
 
@@ -237,18 +238,40 @@ def test_decontamination_against_brute_force():
             own[at:at] = copy
         texts.append(" ".join(own))
     texts += [None, "", "v1"]
-    index = decontam.Index(items, 64)
+    index, known = decontam.Index(items, 64), 0
     for text, found in zip(texts, index.matches(texts)):
-        own, expected = decontam.words_of(text), set()
-        for a in range(0, max(1, len(own)), index.stride):
-            if a and a + index.stride >= len(own):
-                break
-            window = own[a : a + 2 * index.stride]
-            for item in index.items:
-                held = {tuple(window[x : x + len(item.shingles[0])]) for x in range(len(window))}
-                if sum(s in held for s in item.shingles) / len(item.shingles) >= decontam.OVERLAP - 1e-9:
-                    expected.add(item.item_id)
+        expected = {i for i, item in items if holds(text, item, 128)}
         assert {m[0] for m in found} == expected
+        known += len(expected)
+    assert known > 50
+
+
+def plain_words(text):
+    return re.findall(r"[a-z0-9]+", (text or "").lower())
+
+
+def holds(text, item, span):
+    """Whether some span that begins with a shingle of the item has 0.8 of them, and half of the words of either part."""
+    own, wanted = plain_words(text), plain_words(item)
+    k = min(5, len(wanted))
+    shingles = [wanted[x : x + k] for x in range(len(wanted) - k + 1)]
+    sentences = re.findall(r"[^.?!]+[.?!]?", item)
+    parts = [plain_words(" ".join(sentences[:-1])), plain_words(sentences[-1])] if len(sentences) > 1 else [wanted]
+    for x in range(len(own)):
+        if own[x : x + k] in shingles:
+            held = own[x : x + span]
+            runs = [held[y : y + k] for y in range(len(held) - k + 1)]
+            if sum(s in runs for s in shingles) >= 0.8 * len(shingles) and all(sum(min(p.count(w), held.count(w)) for w in set(p)) >= 0.5 * len(p) for p in parts):
+                return True
+    return False
+
+
+def test_a_question_without_its_answer_is_no_leak():
+    question, answer = "Which of the rivers runs all the way through the old town past the mill and the bridge to the sea?", "The slow green one."
+    index = decontam.Index([(1, f"{question} {answer}")], 64)
+    found = index.matches([f"x {question} {answer} y", f"x {question} Nobody could say. y", f"x {answer} y", f"{question} The slow one."])
+    assert [[m[0] for m in own] for own in found] == [[1], [], [], [1]]
+    assert found[0][0][2:] == (1.0, 1.0, 1.0) and found[3][0][4] == 0.75
 
 
 @pytest.mark.parametrize("size", [59, 64])
