@@ -4,6 +4,10 @@ HTML is parsed into an ordered sequence of text and media-reference structs. A r
 payload by digest; payloads are stored once as lossless 8-bit grey PNG images, and joins on the
 digest bring what was read back from them to the reference, whose position and caption stay with it.
 
+A plain text is a page too: its lines are paragraphs, and after the first of them stands a figure
+that refers to the payload made of the whole text. What is known of a document's payload, its
+unpadded length too, comes from the stored bytes (a padding byte, 255, is in no UTF-8 text).
+
 Defined results: null and empty texts have a payload of 576 bytes of 255; null HTML is an empty
 sequence; repeated rows each keep their own; a reference whose payload is missing resolves to nulls;
 an empty table gives an empty table. Only the named columns of the input are read.
@@ -12,10 +16,11 @@ an empty table gives an empty table. Only the named columns of the input are rea
 from __future__ import annotations
 
 import hashlib
+import html
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import numpy as np
@@ -23,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import cut_lineage, store
 
 #: Samples in a row of the stored image.
 WIDTH = 576
@@ -140,9 +145,9 @@ class _Sequence(HTMLParser):
             (self.text if self.caption is None else self.caption).append(data)
 
 
-def sequence_of(html: str | None) -> list[dict]:
+def sequence_of(page: str | None) -> list[dict]:
     parser = _Sequence()
-    parser.feed(html or "")
+    parser.feed(page or "")
     parser.close()
     if parser.caption:
         parser.text += parser.caption
@@ -150,16 +155,30 @@ def sequence_of(html: str | None) -> list[dict]:
     return [{"pos": i, **item} for i, item in enumerate(parser.items)]
 
 
-def interleave(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, sequence) of every page: its texts and media references in document order."""
+def page_of(text: str | None) -> str:
+    """A text as a page: a paragraph for each line, and the figure of its payload after the first."""
+    lines = [html.escape(x, quote=False) for x in (text or "").split("\n")]
+    name = hashlib.sha256(payload_of(text)).hexdigest()
+    figure = f'<figure><img src="sha256:{name}" alt="samples"><figcaption>{len((text or "").encode())} bytes of text</figcaption></figure>'
+    return f"<article><p>{lines[0]}</p>{figure}<p>{'</p><p>'.join(lines[1:])}</p></article>"
+
+
+def interleave(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", as_page: Callable[[str | None], str | None] | None = None) -> DataFrame:
+    """(id, sequence) of every page: its texts and media references in document order.
+
+    ``as_page`` makes the page of what the column holds, if that isn't HTML itself.
+    """
     rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
     schema = pages.sparkSession.createDataFrame([], f"id {dict(rows.dtypes)['id']}, sequence {SEQUENCE}").schema
     struct_type = pa.list_(pa.struct([("pos", pa.int32()), *[(k, pa.string()) for k in ("kind", "text", "src", "digest", "caption")]]))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sequence_of(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, struct_type)], names=["id", "sequence"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                held = (x.as_py() for x in part.column(1))
+                found = [sequence_of(as_page(x) if as_page else x) for x in held]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, struct_type)], names=["id", "sequence"])
 
     return rows.mapInArrow(parse, schema)
 
@@ -170,32 +189,24 @@ def resolve(sequences: DataFrame, media: DataFrame) -> DataFrame:
     return rows.join(media, "digest", "left")
 
 
-def write_payloads(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store every text's payload; returns (doc_id, html, digest, media) as read from the store.
-
-    A task stores a payload once; ``media`` is null in its later rows. html is the document's page:
-    a figure that refers to the payload by digest, with the text's length in its caption.
-    """
+def write_payloads(docs: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:
+    """Store every text's payload; returns (digest, media) as read from the store. A task stores a payload once."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                html, digests, images = [], [], []
-                for text in part.column(1):
-                    text = text.as_py()
-                    payload = payload_of(text)
+                digests, images = [], []
+                for text in batch.column(0).slice(at, 512):
+                    payload = payload_of(text.as_py())
                     digest = hashlib.sha256(payload)
-                    name = digest.hexdigest()
-                    digests.append(name)
-                    images.append(None if digest.digest() in seen else to_png(payload))
-                    seen.add(digest.digest())
-                    html.append(f'<article><figure><img src="sha256:{name}" alt="samples"><figcaption>{len((text or "").encode())} bytes of text</figcaption></figure></article>')
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(html, pa.string()), pa.array(digests, pa.string()), pa.array(images, pa.binary())], names=["doc_id", "html", "digest", "media"])
+                    if digest.digest() not in seen:
+                        seen.add(digest.digest())
+                        digests.append(digest.hexdigest())
+                        images.append(to_png(payload))
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(images, pa.binary())], names=["digest", "media"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return store(rows.mapInArrow(write, "doc_id long, html string, digest string, media binary"), "media", path)
+    return store(docs.select(F.col(text_col).alias("text")).mapInArrow(write, "digest string, media binary"), "media", path)
 
 
 def read_payloads(stored: DataFrame) -> DataFrame:
@@ -210,21 +221,36 @@ def read_payloads(stored: DataFrame) -> DataFrame:
                 own = hashlib.sha256(payload).hexdigest()
                 if own != digest:
                     raise ValueError(f"payload {digest} was stored as {own}")
-                rows.append((digest, len(payload), own, zlib.crc32(payload[-32:]), len(image), hashlib.sha256(image).hexdigest(), feature_of(payload)))
-            columns = list(zip(*rows)) or [()] * 7
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                rows.append((digest, len(payload.rstrip(PAD)), len(payload), own, zlib.crc32(payload[-32:]), len(image), hashlib.sha256(image).hexdigest(), feature_of(payload)))
+            columns = list(zip(*rows)) or [()] * 8
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    schema = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     names = [x.split()[0] for x in schema.split(", ")]
-    found = stored.where("media is not null").select("digest", "media").mapInArrow(read, schema)
+    found = stored.select("digest", "media").mapInArrow(read, schema)
     return found.groupBy("digest").agg(*[F.first(n).alias(n) for n in names[1:]])
 
 
 def media_columns(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The media columns of each document, by way of its page's sequence and the payload store."""
-    stored = write_payloads(docs, path, id_col, text_col)
-    pages = interleave(stored.select(F.col("doc_id").alias("page_id"), "html"))
-    elements = resolve(pages, read_payloads(stored)).where("kind = 'media'")
-    n_bytes = F.regexp_extract("caption", "^([0-9]+) bytes", 1).cast("long")
-    return elements.select(F.col("id").alias("doc_id"), n_bytes.alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    """The media columns of each document, by way of its page's sequence and the payload store.
+
+    position: the place of the reference in the sequence; elements: how many that has.
+    """
+    # cut here, so that the join deals out both sides itself and a digest with many rows is split
+    media = cut_lineage(read_payloads(write_payloads(docs, path, text_col)))
+    pages = interleave(docs.select(F.col(id_col).cast("long").alias("page_id"), F.col(text_col).alias("html")), as_page=page_of)
+    references = pages.select("id", F.size("sequence").alias("elements"), F.filter("sequence", lambda e: e["kind"] == "media").alias("sequence"))
+    rows = references.select("id", "elements", F.explode("sequence").alias("e")).select("id", "elements", "e.pos", "e.digest", "e.caption")
+    rows = rows.join(media, "digest", "left")
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    return rows.select(F.col("id").alias("doc_id"), *names, F.col("pos").alias("position"), "elements", "caption")
+
+
+def page_sequences(pages: DataFrame) -> DataFrame:
+    """page_id, elements, media, text_chars, digest (of all elements in order) of every page."""
+    rows = interleave(pages)
+    joined = F.array_join(F.transform("sequence", lambda e: F.concat_ws(":", e["pos"].cast("string"), e["kind"], F.coalesce(e["text"], e["src"]))), "\n")
+    chars = F.aggregate("sequence", F.lit(0).cast("long"), lambda n, e: n + F.coalesce(F.length(e["text"]), F.lit(0)))
+    media = F.size(F.filter("sequence", lambda e: e["kind"] == "media"))
+    return rows.select(F.col("id").alias("page_id"), F.size("sequence").alias("elements"), media.alias("media"), chars.alias("text_chars"), F.sha2(joined, 256).alias("digest"))

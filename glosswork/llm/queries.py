@@ -77,4 +77,11 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_secrets": op2_secrets, "op3_toxicity": op3_toxicity, "op4_rans": op4_rans, "op5_sharding": op5_sharding, "op6_quality": op6_quality, "op7_decontamination": op7_decontamination, "op8_chat": op8_chat, "op9_simhash": op9_simhash, "op10_media": op10_media}
+def pages_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequences of real pages, by the operator of op10_media."""
+    from .media import page_sequences
+
+    return page_sequences(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op1_mix": op1_mix, "op2_secrets": op2_secrets, "op3_toxicity": op3_toxicity, "op4_rans": op4_rans, "op5_sharding": op5_sharding, "op6_quality": op6_quality, "op7_decontamination": op7_decontamination, "op8_chat": op8_chat, "op9_simhash": op9_simhash, "op10_media": op10_media, "pages_interleaved": pages_interleaved}

@@ -432,12 +432,44 @@ def test_media_columns_of_odd_rows(odd, none):
     assert len(got) == odd.count() and media.media_columns(none).count() == 0
     expected = Counter()
     for r in odd.collect():
-        payload = media.payload_of(r.text)
+        data = (r.text or "").encode()
+        payload = data + b"\xff" * (-len(data) % 576 if data else 576)
         image = media.to_png(payload)
-        expected[r.doc_id, len((r.text or "").encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(image), hashlib.sha256(image).hexdigest(), media.feature_of(payload)] += 1
+        samples = zlib.decompress(image[image.index(b"IDAT") + 4 : -16])
+        assert b"".join(samples[k + 1 : k + 577] for k in range(0, len(samples), 577)) == payload
+        parts = [sum(payload[k * len(payload) // 64 : (k + 1) * len(payload) // 64]) for k in range(64)]
+        bits = "".join("1" if 64 * x > sum(payload) else "0" for x in parts)
+        bins = ",".join(str(sum(32 * k <= x < 32 * k + 32 for x in payload) * 1000 // len(payload)) for k in range(8))
+        feature = f"mean={sum(payload) * 1000 // len(payload)};bins={bins};ahash={int(bits, 2):016x}"
+        texts = [x for x in (r.text or "").split("\n") if x.split()]
+        place = 1 if (r.text or "").split("\n")[0].split() else 0
+        expected[r.doc_id, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(image), hashlib.sha256(image).hexdigest(), feature, place, 1 + len(texts), f"{len(data)} bytes of text"] += 1
     assert Counter(map(tuple, got)) == expected
 
 
+def test_pages_of_texts_keep_their_lines():
+    text = "a <b> & c\n\n  second &amp; line\nthird"
+    found = media.sequence_of(media.page_of(text))
+    assert [e["text"] for e in found if e["kind"] == "text"] == ["a <b> & c", "second &amp; line", "third"]
+    assert [(e["pos"], e["digest"], e["caption"]) for e in found if e["kind"] == "media"] == [(1, hashlib.sha256(media.payload_of(text)).hexdigest(), f"{len(text)} bytes of text")]
+
+
+def test_references_resolve_in_place(spark):
+    stored = media.write_payloads(spark.createDataFrame([("x",), ("y",), ("x",)], "text string"))
+    known = media.read_payloads(stored)
+    one, two = (hashlib.sha256(media.payload_of(t)).hexdigest() for t in "xy")
+    page = f'<p>a</p><img src="sha256:{two}"><p>b</p><img src="sha256:{one}" alt="one"><img src="sha256:{"0" * 64}"><img src="u.png">'
+    got = sorted(media.resolve(media.interleave(spark.createDataFrame([(1, page)], "page_id long, html string")), known).collect(), key=lambda r: r.pos)
+    assert [(r.kind, r.caption, r.n_bytes, r.payload_sha256) for r in got] == [("text", None, None, None), ("media", None, 1, two), ("text", None, None, None), ("media", "one", 1, one), ("media", None, None, None), ("media", None, None, None)]
+
+
+def test_page_sequences(spark):
+    pages = spark.createDataFrame([(1, "<p>a b<img src='x.png'>c"), (2, None)], "page_id long, html string")
+    got = {r.page_id: r for r in media.page_sequences(pages).collect()}
+    assert (got[1].elements, got[1].media, got[1].text_chars, got[1].digest) == (3, 1, 4, hashlib.sha256(b"0:text:a b\n1:media:x.png\n2:text:c").hexdigest())
+    assert (got[2].elements, got[2].media, got[2].text_chars) == (0, 0, 0)
+
+
 def test_interleaved_pages(spark):
     pages = spark.createDataFrame([(1, None, "u"), (2, "", "u"), (3, '<p>a<img src="x.png" alt="c">b</p>', "u"), (3, '<p>a<img src="x.png" alt="c">b</p>', "u")], "page_id long, html string, pos string")
     got = sorted((r.id, [(e.pos, e.kind) for e in r.sequence]) for r in media.interleave(pages).collect())
