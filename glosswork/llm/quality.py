@@ -5,7 +5,8 @@ over the counts of all vote patterns (at most 3 to the number of labellers, what
 corpus) estimates how often each labeller votes how in either class, and so the posterior of every
 pattern. A linear scorer over hashed features of the whole text learns those posteriors from at most
 ``most_docs`` documents, in the order of a hash of their ids (a documented bound); votes, pattern
-counts and scores cover all documents. No gold label is read.
+counts and scores cover all documents. Each text is read once: its votes and its features, of which
+only those that aren't zero are kept, go to a table. No gold label is read.
 
 Defined results: null and empty texts, and texts without words, have no features: every labeller
 abstains, and they score below one half; repeated rows get equal scores; an empty table gives an
@@ -58,8 +59,9 @@ def statistics(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
     letters = single[1] + single[2] + single[6]
     # as words repeat more in longer texts, the share of distinct ones is taken over runs of 200
     runs = [words[i : i + 200] for i in range(0, n, 200)]
-    distinct = sum(len(set(r)) for r in runs) / n
-    top = sum(max(Counter(r).values()) for r in runs) / n
+    counts = [Counter(r) for r in runs]
+    distinct = sum(map(len, counts)) / n
+    top = sum(max(c.values()) for c in counts) / n
     same = sum(map(bytes.__eq__, words, words[1:])) / n
     ends = single[_MARK_SET["."]] + single[_MARK_SET["?"]] + single[_MARK_SET["!"]]
     named = np.array([(marks - single[_PLAIN_MARKS].sum()) / n, single[2] / max(1, letters), same, distinct, top, n / (1 + ends), letters / n, single[_MARK_SET["!"]] / n, letters / size])
@@ -131,7 +133,7 @@ class LabelModel:
         for _ in range(rounds):
             weights = np.stack([counts * (1 - posterior), counts * posterior])
             rates = np.stack([[np.bincount(votes[:, k], weights=w, minlength=3) for k in range(votes.shape[1])] for w in weights])
-            # one pseudo-vote of each kind; a labeller is no worse than chance
+            # one pseudo-vote of each kind
             rates = (rates + 1) / (rates + 1).sum(axis=2, keepdims=True)
             model = cls(rates, float((weights[1].sum() + 1) / (counts.sum() + 2)))
             new = model.posterior(patterns)
@@ -166,57 +168,62 @@ def learn(features: np.ndarray, target: np.ndarray, rounds: int = 200, ridge: fl
     return weights
 
 
-def pattern_column(text: Column) -> Column:
-    @F.arrow_udf("int")
-    def pattern(texts: pa.Array) -> pa.Array:
-        found = (statistics(t.as_py()) for t in texts)
-        return pa.array([pattern_of(f and f[0]) for f in found], pa.int32())
+def packed(features: np.ndarray) -> bytes:
+    """The features that aren't zero: their numbers, then their values in half precision."""
+    at = np.flatnonzero(features)
+    return at.astype("<u2").tobytes() + features[at].astype("<f2").tobytes()
 
-    return pattern(text)
 
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(data) // 4
+    return np.frombuffer(data, "<u2", n), np.frombuffer(data, "<f2", n, 2 * n).astype(np.float64)
 
-def feature_column(text: Column) -> Column:
-    @F.arrow_udf("binary")
-    def features(texts: pa.Array) -> pa.Array:
-        found = (statistics(t.as_py()) for t in texts)
-        return pa.array([f and f[1].astype("<f4").tobytes() for f in found], pa.binary())
 
-    return features(text)
+def read_column(text: Column) -> Column:
+    kind = pa.struct([("pattern", pa.int32()), ("features", pa.binary())])
+
+    @F.arrow_udf("struct<pattern:int,features:binary>")
+    def read(texts: pa.Array) -> pa.Array:
+        found = (statistics(t.as_py()) for t in texts)
+        return pa.array([{"pattern": pattern_of(f and f[0]), "features": f and packed(f[1])} for f in found], kind)
 
+    return read(text)
 
-def score_and_pattern(weights: np.ndarray, text: Column) -> Column:
-    kind = pa.struct([("score", pa.float64()), ("pattern", pa.int32())])
 
-    @F.arrow_udf("struct<score:double,pattern:int>")
-    def both(texts: pa.Array) -> pa.Array:
+def score_column(weights: np.ndarray, features: Column) -> Column:
+    @F.arrow_udf("double")
+    def score(cells: pa.Array) -> pa.Array:
         out = []
-        for t in texts:
-            f = statistics(t.as_py())
-            x = 0.0 if f is None else float(1 / (1 + np.exp(-np.clip(f[1] @ weights, -500, 500))))
-            out.append({"score": x, "pattern": pattern_of(f and f[0])})
-        return pa.array(out, kind)
+        for cell in cells:
+            if (data := cell.as_py()) is None:
+                out.append(0.0)
+                continue
+            at, values = unpacked(data)
+            out.append(float(1 / (1 + np.exp(-np.clip(values @ weights[at], -500, 500)))))
+        return pa.array(out, pa.float64())
 
-    return both(text)
+    return score(features)
 
 
 def score_documents(docs: DataFrame, most_docs: int = MOST_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, posterior (of the label model), score, predicted (1: clean), keep of every document."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    votes = cut_lineage(rows.select("doc_id", pattern_column(F.col("text")).alias("pattern")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), read_column(F.col(text_col)).alias("r"))
+    rows = cut_lineage(rows.select("doc_id", "r.pattern", "r.features"))
     # at most 3 ** 9 rows
-    seen = sorted((r["pattern"], r["n"]) for r in votes.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect())
+    seen = sorted((r["pattern"], r["n"]) for r in rows.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect())
     patterns, counts = np.array([p for p, _ in seen], np.int64), np.array([n for _, n in seen], float)
     model = LabelModel.fit(patterns, counts)
     posterior = dict(zip(patterns.tolist(), model.posterior(patterns).tolist()))
-    # the sample's ids are bounded by a parameter, so they may be broadcast
-    key = F.md5(F.concat(F.lit("quality:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    chosen = votes.where("pattern > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("pattern").alias("pattern")).orderBy(key, "doc_id").limit(most_docs)
-    sample = rows.join(F.broadcast(chosen.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id")).select("pattern", feature_column(F.col("text")).alias("f"))
-    # rows without features are left out here: as a filter that would be tried on all documents before the join
-    learned = [(p, f) for p, f in zip(*(c.to_pylist() for c in sample.toArrow().columns)) if f is not None]
-    features = np.frombuffer(b"".join(f for _, f in learned), "<f4").reshape(-1, DIMENSIONS)
+    # a row's own votes and features, as an id may have rows of different texts
+    key = F.md5(F.concat(F.lit("quality:"), F.col("doc_id").cast("string")).cast("binary"))
+    chosen = rows.where("pattern > 0 and doc_id is not null").orderBy(key, "doc_id", "pattern", "features").limit(most_docs)
+    learned = list(zip(*(c.to_pylist() for c in chosen.select("pattern", "features").toArrow().columns)))
+    features = np.zeros((len(learned), DIMENSIONS))
+    for x, (_, data) in zip(features, learned):
+        at, values = unpacked(data)
+        x[at] = values
     weights = learn(features, np.array([posterior[p] for p, _ in learned]))
     lookup = F.create_map(*[x for p, v in posterior.items() for x in (F.lit(p), F.lit(v))]) if posterior else None
-    scored = rows.select("doc_id", score_and_pattern(weights, F.col("text")).alias("s")).select("doc_id", "s.score", "s.pattern")
     prior = F.element_at(lookup, F.col("pattern")) if lookup is not None else F.lit(None).cast("double")
-    return scored.select("doc_id", prior.alias("posterior"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), (F.col("score") >= 0.5).alias("keep"))
+    scored = rows.select("doc_id", prior.alias("posterior"), score_column(weights, F.col("features")).alias("score"))
+    return scored.select("*", (F.col("score") >= 0.5).cast("int").alias("predicted"), (F.col("score") >= 0.5).alias("keep"))

@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 import xxhash
@@ -268,6 +269,25 @@ def test_quality_separates_junk(spark, odd, none):
     assert all(r.predicted == 0 for r in quality.score_documents(odd).collect() if not words("" if r.doc_id in (1, 2, 3) else "x"))
 
 
+def test_quality_of_an_id_with_two_texts(spark):
+    clean = "The keeper of house {} walked along the shore each evening, and the lamps of the town were lit one after another."
+    data = rows(*[clean.format(k) for k in range(150)]) + rows(*["WIN!! {} NOW!! $$$ ### ".format(k) * 30 for k in range(40)])  # the same ids
+    got = quality.score_documents(spark.createDataFrame(data, SCHEMA)).collect()
+    assert Counter(r.predicted for r in got) == {1: 150, 0: 40}
+    assert Counter(r.predicted for r in got if r.doc_id < 40) == {1: 40, 0: 40}
+
+
+def test_quality_agrees_with_held_out_labels(spark):
+    """No label is read by the fit, so all are held out."""
+    folder = "/root/testdata/sf0.01"
+    if not Path(folder).exists():
+        pytest.skip("no labelled documents")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    marked = quality.score_documents(docs).join(spark.read.parquet(f"{folder}/labels.parquet").where("quality is not null"), "doc_id")
+    right = marked.agg(F.avg((F.col("predicted") == F.col("quality")).cast("double"))).first()[0]
+    assert right > 0.9
+
+
 # decontamination
 
 
