@@ -7,7 +7,8 @@ budget ends; a source whose budget exceeds its size is repeated in whole epochs
 Defined results: a null text has size 0; rows of a null source are a source of their own, ordered
 last; rows of equal id (a null id counts as one id) and source share one key, and where the cut
 falls among them each gets its share, rounded down, so that results never depend on the order of
-equal rows; an empty table gives an empty table. Other columns pass through or are ignored.
+equal rows; an empty table gives an empty table. Other columns pass through, whatever their names,
+or are ignored.
 """
 
 from __future__ import annotations
@@ -91,25 +92,27 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: fl
     one row for each source, the place of its cut, is joined to the texts, which aren't shuffled.
     """
     plan = mix_plan(docs, weights, share, most, seed, id_col, text_col, source_col)
-    plan = plan.withColumn("_rest", F.floor("target") - F.col("epochs") * F.col("source_size"))
-    cuts = plan.groupBy("source").agg(
-        F.max("epochs").alias("_epochs"),
-        F.max(F.when((F.col("mix_start") <= F.col("_rest")) & (F.col("unit_size") > 0), F.struct("mix_start", "mix_key", "unit_size", "_rest"))).alias("_cut"),
-    )
-    cuts = small_side(cut_lineage(cuts.withColumnRenamed("source", "_source")))
+    rest = F.floor("target") - F.col("epochs") * F.col("source_size")
+    at = F.struct("mix_start", "mix_key", "unit_size", rest.alias("rest"))
+    cuts = plan.groupBy("source").agg(F.max("epochs").alias("epochs"), F.max(F.when((F.col("mix_start") <= rest) & (F.col("unit_size") > 0), at)).alias("cut"))
+    cuts = small_side(cut_lineage(cuts.withColumnRenamed("source", "cut_source")))
+    # the columns of docs are packed, so that their names don't matter
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), mix_key(F.col(id_col), seed).alias("key"))
+    row = F.col("row")
+    rows = packed.join(cuts, row.getField(source_col).eqNullSafe(F.col("cut_source")))
     # the key may differ between rows of one start only where units are empty, and those are left out
-    key = mix_key(F.col(id_col), seed)
-    rows = docs.withColumn("_mix_key", key).join(cuts, F.col(source_col).eqNullSafe(F.col("_source")))
-    left = F.greatest(F.lit(0), F.least(F.col("_cut._rest") - F.col("_cut.mix_start"), F.col("_cut.unit_size")))
-    at_cut = F.col("_mix_key") == F.col("_cut.mix_key")
-    words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
-    kept = F.when(at_cut, F.expr("CAST(CAST(_left AS DECIMAL(18,0)) * CAST(size(_words) AS DECIMAL(18,0)) AS DECIMAL(38,0)) div greatest(_cut.unit_size, 1L)"))
-    rows = rows.withColumn("_left", left).withColumn("_words", F.when(at_cut, F.coalesce(words, F.array().cast("array<string>")))).withColumn("_kept", kept.cast("int"))
-    last = F.when(at_cut, (F.col("_kept") > 0).cast("int")).when(F.col("_mix_key") < F.col("_cut.mix_key"), F.lit(1)).otherwise(F.lit(0))
-    copies = F.col("_epochs") + F.coalesce(last, F.lit(0))
-    rows = rows.withColumn("_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies)).otherwise(F.array().cast("array<bigint>"))))
-    cut_here = at_cut & (F.col("_copy") > F.col("_epochs")) & (F.col("_kept") < F.size("_words"))
-    columns = {text_col: F.when(cut_here, F.array_join(F.slice("_words", 1, F.greatest(F.col("_kept"), F.lit(1))), " ")).otherwise(F.col(text_col))}
+    at_cut = F.col("key") == F.col("cut.mix_key")
+    words = F.regexp_extract_all(row.getField(text_col), F.lit(WORD), F.lit(0))
+    rows = rows.withColumn("room", F.greatest(F.lit(0), F.least(F.col("cut.rest") - F.col("cut.mix_start"), F.col("cut.unit_size"))))
+    rows = rows.withColumn("words", F.when(at_cut, F.coalesce(words, F.array().cast("array<string>"))))
+    part = F.expr("CAST(CAST(room AS DECIMAL(18,0)) * CAST(size(words) AS DECIMAL(18,0)) AS DECIMAL(38,0)) div greatest(cut.unit_size, 1L)")
+    rows = rows.withColumn("kept", F.when(at_cut, part).cast("int"))
+    last = F.when(at_cut, (F.col("kept") > 0).cast("int")).when(F.col("key") < F.col("cut.mix_key"), F.lit(1)).otherwise(F.lit(0))
+    copies = F.col("epochs") + F.coalesce(last, F.lit(0))
+    rows = rows.withColumn("copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies)).otherwise(F.array().cast("array<bigint>"))))
+    cut_here = at_cut & (F.col("copy") > F.col("epochs")) & (F.col("kept") < F.size("words"))
+    text = row.getField(text_col)
+    columns = {text_col: F.when(cut_here, F.array_join(F.slice("words", 1, F.greatest(F.col("kept"), F.lit(1))), " ")).otherwise(text)}
     if length_col:
-        columns[length_col] = F.when(cut_here, F.length(columns[text_col])).otherwise(F.col(length_col))
-    return rows.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns])
+        columns[length_col] = F.when(cut_here, F.length(columns[text_col])).otherwise(row.getField(length_col))
+    return rows.select(*[columns.get(c, row.getField(c)).alias(c) for c in docs.columns])

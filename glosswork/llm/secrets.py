@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_side
+from .common import cut_lineage, shared_dir, small_side
 
 
 def either_case(word: str) -> str:
@@ -50,6 +50,9 @@ RULES = (
     Rule("hex", "[0-9a-f]+", 0, 16),
 )
 
+#: Kinds that the digest of a report covers, whatever other rules there are.
+BASE = ("assign", "access", "hex")
+
 LEDGER = "blob string, rules array<string>, findings array<struct<start:long,ord:int,kind:string,end:long,rule:string>>"
 
 
@@ -110,7 +113,7 @@ def scan_versions(versions: DataFrame, ledger_path: str, rules=RULES, text_col:
         # digests alone decide what is new; the texts of known blobs stay where they are
         done = seen.select("blob", F.explode("rules").alias("rule")).where(F.col("rule").isin(wanted)).groupBy("blob").agg(F.collect_set("rule").alias("done"))
         new = named.select("blob").distinct().join(done, "blob", "left").withColumn("pending", F.array_except(everything, F.coalesce("done", F.array().cast("array<string>"))))
-        texts = named.join(small_side(new.where(F.size("pending") > 0).select("blob", "pending")), "blob")
+        texts = named.join(small_side(cut_lineage(new.where(F.size("pending") > 0).select("blob", "pending"))), "blob")
     blobs = texts.groupBy("blob").agg(F.first("text").alias("text"), F.first("pending").alias("pending"))
     found = scan_blobs(blobs, rules)
     # each scanned blob goes into the ledger, found or clean; this side has no text
@@ -119,7 +122,8 @@ def scan_versions(versions: DataFrame, ledger_path: str, rules=RULES, text_col:
     scanned.join(found, "blob", "left").select("blob", "rules", F.coalesce("findings", empty).alias("findings")).write.mode("append").parquet(ledger_path)
     current = spark.read.schema(LEDGER).parquet(ledger_path)
     hits = current.where(F.size("findings") > 0).select("blob", F.explode("findings").alias("f")).where(F.col("f.rule").isin(wanted))
-    hits = hits.groupBy("blob").agg(F.sort_array(F.collect_set("f")).alias("findings"))
+    # cut here, so that the join deals out both sides itself and a blob with many rows is split
+    hits = cut_lineage(hits.groupBy("blob").agg(F.sort_array(F.collect_set("f")).alias("findings")))
     return named.select(*keep, "blob").join(small_side(hits), "blob", "left").select(*keep, "blob", F.coalesce("findings", empty).alias("findings"))
 
 
@@ -127,10 +131,13 @@ def secret_report(docs: DataFrame, ledger_path: str | None = None, rules=RULES)
     """Counts, digest and spans of each document, from a ledger (a new one unless named)."""
     path = ledger_path or f"{shared_dir(docs.sparkSession)}/blob-ledger-{uuid.uuid4().hex}"
     rows = scan_versions(docs, path, rules)
-    joined = F.array_join(F.transform("findings", lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))), ",")
 
     def count(kind: str) -> Column:
         return F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
+    def spans(column: str | Column) -> Column:
+        return F.array_join(F.transform(column, lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))), ",")
+
     counts = [count(rule.kind) for rule in rules]
-    return rows.withColumn("spans", joined).select("doc_id", *counts, F.sha2("spans", 256).alias("base_sha256"), "spans", "blob")
+    base = spans(F.filter("findings", lambda f: f["kind"].isin(*BASE)))
+    return rows.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), spans("findings").alias("spans"), "blob")

@@ -10,8 +10,8 @@ Unlinked documents then fill what is left of each quota exactly.
 Law ``rows``: the counts of two shards are at most one apart. Documents of a group that are in the
 same shard are interchangeable, so rounds work on cells (group, shard, count).
 
-Defined results: a null text counts as the empty text (size 1) and is linked to it; a null id has
-its own place in the hash order; repeated rows are documents of their own; an empty table gives an
+Defined results: a null text counts as the empty text (size 1) and is linked to it; a null id is hashed
+as a name of its own; repeated rows are documents of their own; an empty table gives an
 empty table. Only the named columns of the input are read.
 """
 
@@ -109,7 +109,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
         (F.octet_length(data) + 1).cast("long").alias("size"),
         F.crc32(data).alias("text_crc32"),
         F.md5(data).alias("gid"),
-        F.md5(F.concat(F.lit("shard:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary")).alias("place"),
+        # the text too, so that the rows of one id, or without one, are spread
+        F.md5(F.concat(F.lit("shard:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), F.md5(data)).cast("binary")).alias("place"),
         F.lit(1).cast("long").alias("one"),
     )
     base = cut_lineage(base)

@@ -92,6 +92,16 @@ def test_mix_of_odd_rows(odd, none):
     assert mix.mix_sources(odd).columns == odd.columns and mix.mix_sources(odd).count() > 0
 
 
+def test_mix_keeps_columns_of_any_name(spark):
+    names = ["row", "key", "cut", "cut_source", "epochs", "room", "words", "kept", "copy", "_source", "_epochs", "_mix_key", "_kept", "a.b"]
+    data = [(k, "w " * (k % 5 + 1), "ab"[k % 2], *[f"{n}{k}" for n in names]) for k in range(40)]
+    docs = spark.createDataFrame(data, ["doc_id", "text", "source", *names])
+    got = mix.mix_sources(docs)
+    assert got.columns == docs.columns
+    rows_ = got.collect()
+    assert len(rows_) > 40 and all(tuple(r)[3:] == tuple(f"{n}{r.doc_id}" for n in names) for r in rows_)
+
+
 def test_mix_when_nothing_has_words(spark):
     docs = spark.createDataFrame(rows("", None, " "), SCHEMA)
     assert [r.taken for r in mix.mix_plan(docs).collect()] == [0, 0, 0] and mix.mix_sources(docs).count() == 0
@@ -135,6 +145,13 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     assert len(later) == 10 and sum(r.rules == [changed[-1].version] for r in later) == 5
 
 
+def test_further_rules_leave_the_base_digest(spark):
+    docs = spark.createDataFrame(rows("token=ABCDEFGHIJKLMN BEGIN RSA KEY"), SCHEMA)
+    more = (*secrets.RULES, secrets.Rule("key", "BEGIN [A-Z]+ KEY", 0, 1))
+    plain, got = secrets.secret_report(docs).first(), secrets.secret_report(docs, rules=more).first()
+    assert got.base_sha256 == plain.base_sha256 and got.spans == f"{plain.spans},key:21:34" and got.n_key == 1
+
+
 # toxicity
 
 
@@ -256,6 +273,26 @@ def test_shards_are_even_and_keep_groups(spark, odd, none):
     assert {r["size"] for r in small if r.doc_id in (1, 2)} == {1} and sharding.shard_documents(none).count() == 0
 
 
+def test_shards_cut_few_links(spark):
+    """Against all balanced ways of sharding: the best, and the mean, which chance would give."""
+    from itertools import product
+
+    def cut(texts, shards):
+        return sum(a != b for i, a in enumerate(shards) for j, b in enumerate(shards[:i]) if texts[i] == texts[j])
+
+    for texts in ("aaabbcd", "abababab", "aaaaabcd"):
+        even = [p for p in product(range(2), repeat=len(texts)) if abs(2 * sum(p) - len(texts)) <= 1]
+        costs = [cut(texts, p) for p in even]
+        got = {r.doc_id: r.shard for r in sharding.shard_documents(spark.createDataFrame(rows(*texts), SCHEMA), shards=2).collect()}
+        assert min(costs) <= cut(texts, [got[k] for k in range(len(texts))]) < sum(costs) / len(costs)
+
+
+def test_rows_without_id_are_spread(spark):
+    docs = spark.createDataFrame([(None, f"t{k}") for k in range(200)], "doc_id long, text string")
+    got = sharding.shard_documents(docs).collect()
+    assert len(got) == 200 and max(Counter(r.shard for r in got).values()) == 13 and all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in Counter(r.shard for r in got).items())
+
+
 # quality
 
 
@@ -438,6 +475,38 @@ def test_pipeline_drops_all_near_copies_by_five_word_similarity(spark, odd, none
     assert corpus_pipeline.drop_near_duplicates(spark, odd, "").columns == odd.columns
 
 
+def test_pipeline_runs_on_odd_tables(spark, odd, none, tmp_path):
+    import corpus_pipeline
+
+    item = "Which river runs through the old town by the mill? The slow green one."
+    clean = [f"{w} keeper number {k} of house {k * k} walked along shore {k % 7} each evening with lamp {3 * k}" for k, w in enumerate(["A", "The"] * 30)]
+    more = spark.createDataFrame(rows(*clean, clean[0], f"before {item} after", *[f"you vile swine {k} and {k * k} more {k + 3} of it" for k in range(60)], first=100), SCHEMA)
+    marks = [(100 + k, 1, 0) for k in range(60)] + [(162 + k, 1, 1) for k in range(60)] + [(None, 1, 1), (3, None, None)]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    benchmark = spark.createDataFrame([(1, item), (None, None)], "item_id long, text string")
+    empty = {"documents": none, "labels": labels.limit(0), "benchmark": benchmark.limit(0)}
+    for name, tables in (("full", {"documents": odd.unionByName(more), "labels": labels, "benchmark": benchmark}), ("empty", empty)):
+        for t, df in tables.items():
+            df.write.parquet(f"{tmp_path}/{name}/{t}.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        columns = docs.columns
+        for k, (stage, f) in enumerate(corpus_pipeline.STAGES):
+            docs = f(spark, docs, f"{tmp_path}/{name}")
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert docs.columns == columns, stage
+            docs.write.parquet(f"{tmp_path}/{name}/out{k}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}/out{k}")
+        got = docs.collect()
+        kept = {r.doc_id for r in got}
+        assert [s for s, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "decontamination", "mixing", "sharding"]
+        if name == "empty":
+            assert got == []
+        else:
+            assert not kept & set(range(162, 222)) and not kept & {160, 161} and len(kept & set(range(100, 160))) > 40
+            assert Counter(r.shard for r in got) and max(Counter(r.shard for r in got).values()) - min(Counter(r.shard for r in got).values()) <= 1
+            assert sorted((r.doc_id or -1, r.shard, r.slot) for r in corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()) == sorted((r.doc_id or -1, r.shard, r.slot) for r in got)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(100)] + [(500, 501), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in simhash.components(edges).collect()}
