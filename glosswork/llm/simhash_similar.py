@@ -236,8 +236,10 @@ def similar_roots(rows: DataFrame, docs: DataFrame, text_col: str = "text", tile
     whole = cut_lineage(whole)
     nodes = whole.drop("first")
     tokens = whole.select("key", "n", F.explode("first").alias("token"))
-    many = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("all")).where("all > 1").select("token")
-    shared = cut_lineage(tokens.join(many, "token"))
+    # buckets of the same sets (by number and exclusive-or of their 64-bit keys) are one bucket
+    many = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("all"), F.bit_xor("key").alias("sets")).where("all > 1")
+    many = cut_lineage(many.groupBy("all", "sets").agg(F.min("token").alias("token")).select("token"))
+    shared = cut_lineage(tokens.join(small_side(many, WANTED), "token"))
     held, edges, tried = shared.withColumn("root", F.col("key")), None, None
     for turn in range(ROUNDS):
         place = F.xxhash64("key", F.pmod("token", F.lit(PIVOTS)), F.lit(turn))
