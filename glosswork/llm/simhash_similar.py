@@ -231,10 +231,15 @@ def _tiled_pairs(held: DataFrame, nodes: DataFrame, tile: int = TILE) -> DataFra
 
 
 def similar_roots(rows: DataFrame, docs: DataFrame, text_col: str = "text", tile: int = TILE) -> DataFrame:
-    """(node, root) of the keys of ``rows`` that are similar to another, root the same in a component."""
-    whole = rows.groupBy("key").agg(F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("odd").alias("odd"), F.first("first").alias("first"))
-    whole = cut_lineage(whole)
-    nodes = whole.drop("first")
+    """(node, root) of the keys of ``rows`` that are similar to another, root the same in a component.
+
+    ``rows`` are checkpointed shingle_rows(), numbered in a column ``at``.
+    """
+    # one row of each set; what is left out is told by its place, so that the sets themselves stay where they are
+    least = rows.groupBy("key").agg(F.min("at").alias("least"), F.count(F.lit(1)).alias("all")).where("all > 1")
+    again = cut_lineage(rows.select("key", "at").join(least, "key").where("at <> least").select("at"))
+    whole = rows.join(small_side(again, WANTED), "at", "left_anti")
+    nodes = cut_lineage(whole.select("key", "text_hash", "n", "odd"))
     tokens = whole.select("key", "n", F.explode("first").alias("token"))
     # buckets of the same sets (by number and exclusive-or of their 64-bit keys) are one bucket
     many = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("all"), F.bit_xor("key").alias("sets")).where("all > 1")
@@ -265,7 +270,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Of several rows with that id and text, the one stays whose columns together hash least; the
     names of the columns don't matter.
     """
-    rows = cut_lineage(shingle_rows(docs, id_col, text_col))
+    rows = cut_lineage(shingle_rows(docs, id_col, text_col).withColumn("at", F.monotonically_increasing_id()))
     roots = small_side(similar_roots(rows, docs, text_col))
     marks = rows.select("doc_id", "text_hash", "key").join(roots, F.col("key") == F.col("node"), "left")
     same = marks.groupBy(F.coalesce("root", "key").alias("root"), "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
