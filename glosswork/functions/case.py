@@ -44,7 +44,18 @@ def getcase_col(word: Column) -> Column:
     return F.when(~upper(first) | (F.length(word) == 0), "aa").when((F.length(word) > 1) & upper(last), "AA").otherwise("Aa")
 
 
+def _by_character(word: Column, change) -> Column:
+    """Characters changed one by one, but for those whose change is longer."""
+    return F.array_join(F.transform(F.split(word, ""), lambda c: F.when(F.length(change(c)) == 1, change(c)).otherwise(c)), "")
+
+
+def apply_case_col(case: Column, word: Column) -> Column:
+    low = _by_character(word, F.lower)
+    before = F.length(F.regexp_extract(low, r"^([^\p{L}\p{N}]*)", 1))
+    first = _by_character(F.substr(low, before + 1, F.lit(1)), F.upper)
+    capital = F.concat(F.substr(low, F.lit(1), before), first, F.substr(low, before + 2))
+    return F.when(case == "AA", _by_character(word, F.upper)).when(case == "Aa", capital).otherwise(low)
+
+
 def copycase_col(source: Column, target: Column) -> Column:
-    case = getcase_col(source)
-    capital = F.concat(F.upper(F.substring(target, 1, 1)), F.lower(F.substring(target, 2, 1 << 30)))
-    return F.when(case == "AA", F.upper(target)).when(case == "Aa", capital).otherwise(F.lower(target))
+    return F.when(F.length(source) > 0, apply_case_col(getcase_col(source), target)).otherwise(target)

@@ -30,13 +30,11 @@ def keep_any_requested(nodes: DataFrame, requested: list[str], column: str = "v"
 
 
 def mark_variants(entries: DataFrame, variant: str, side: str = "v") -> DataFrame:
-    """Directions: an entry of another variant is read but not written (``r`` = LR, by side)."""
+    """The variants of a side rewritten: the wanted one where an entry has it, else ``other``; none stay none."""
     if side not in VARIANTS:
         raise ValueError(side)
-    other = F.col(side).isNotNull() & ~F.array_contains(F.col(side), variant)
-    restricted = {"v": "LR", "vl": "RL", "vr": "LR"}[side]
-    blocked = F.col("r").isNotNull() & (F.col("r") != restricted)
-    return entries.withColumn("ignore", other & blocked).withColumn("r", F.when(other & ~blocked, restricted).otherwise(F.col("r")))
+    held = F.when(F.array_contains(side, variant), F.array(F.lit(variant))).otherwise(F.array(F.lit("other")))
+    return entries.withColumn(side, F.when(F.col(side).isNotNull() & (F.size(side) > 0), held).otherwise(F.col(side)))
 
 
 def default_translations(entries: DataFrame) -> DataFrame:

@@ -268,12 +268,12 @@ class Perceptron:
         return self.beam(sentence)[0]
 
 
-def train(sentences: Iterable[tuple[list[Token], list[Analysis]]], templates: Templates, iterations: int = 5, seed: int = 0) -> Perceptron:
-    """Averaged weights; the average advances with updates, and early ones end a sentence."""
+def train(sentences: Iterable[tuple[list[Token], list[Analysis]]], templates: Templates, iterations: int = 5, seed: int = 0, start: dict[tuple[str, ...], float] | None = None) -> Perceptron:
+    """Averaged weights, from those of ``start``; the average advances with updates, and early ones end a sentence."""
     data = list(sentences)
-    model = Perceptron(templates)
+    model = Perceptron(templates, dict(start or {}))
     totals: dict[tuple[str, ...], float] = defaultdict(float)
-    since: dict[tuple[str, ...], int] = {}
+    since: dict[tuple[str, ...], int] = dict.fromkeys(model.weights, 0)
     updates, order = 0, random.Random(seed)
 
     def add(feature: tuple[str, ...], change: float) -> None:
@@ -304,15 +304,15 @@ def train(sentences: Iterable[tuple[list[Token], list[Analysis]]], templates: Te
 
 def train_distributed(rows: DataFrame, templates: Templates, rounds: int = 3, seed: int = 0) -> Perceptron:
     """Parameter mixing: each partition of (untagged, tagged) sentences trains by itself, weights are
-    averaged by an aggregation, and the mean starts the next round's comparison."""
+    averaged by an aggregation, and the next round starts from their mean. The driver and each task hold
+    one set of weights, and a task the sentences of its partition."""
     weights: dict[tuple[str, ...], float] = {}
     parts = max(1, rows.rdd.getNumPartitions())
     for r in range(rounds):
 
         def work(batches: Iterator[pa.RecordBatch], start=weights, number=r) -> Iterator[pa.RecordBatch]:
             pairs = [(sentence_of(u), gold_of(t)) for b in batches for u, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-            model = train(pairs, templates, 1, seed + number)
-            both = {f: model.weights.get(f, 0.0) + start.get(f, 0.0) for f in model.weights.keys() | start.keys()}
+            both = train(pairs, templates, 1, seed + number, start).weights
             yield pa.RecordBatch.from_arrays([pa.array([list(f) for f in both], pa.list_(pa.string())), pa.array(list(both.values()), pa.float64())], names=["feature", "w"])
 
         mixed = rows.select("untagged", "tagged").mapInArrow(work, "feature array<string>, w double").groupBy("feature").agg((F.sum("w") / parts).alias("w"))

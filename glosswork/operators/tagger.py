@@ -57,10 +57,21 @@ def _previous(tokens: DataFrame, column: str, start: str = START) -> DataFrame:
     return tokens.withColumn("previous", F.lag(column, 1, start).over(order))
 
 
-def kupiec_counts(tokens: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def class_pairs(tokens: DataFrame) -> dict[tuple[str, str], int]:
+    """How often each class comes after each: one scan, and as few numbers as the tag set allows."""
+    rows = _previous(tokens, "class").groupBy("previous", "class").agg(F.count(F.lit(1)).alias("n")).collect()
+    return {(r["previous"], r["class"]): r["n"] for r in rows}
+
+
+def classes_of(spark: SparkSession, seen: Iterable[str], open_class: Iterable[str] = OPEN_CLASS) -> DataFrame:
+    """ambiguity_classes() of the classes that class_pairs() has."""
+    names = {*seen, *(t for c in seen for t in c.split("|")), "|".join(sorted(open_class)), *open_class, START}
+    return spark.createDataFrame([(c, c.split("|")) for c in sorted(names)], "class string, tags array<string>")
+
+
+def kupiec_counts(tokens: DataFrame, classes: DataFrame, seen: dict[tuple[str, str], int] | None = None) -> tuple[DataFrame, DataFrame]:
     """Class counts (class, n) and pair counts (previous, class, n); each starts at one."""
-    # one scan; the counts, and the classes, are as few as the tag set allows
-    seen = {(r["previous"], r["class"]): r["n"] for r in _previous(tokens, "class").groupBy("previous", "class").agg(F.count(F.lit(1)).alias("n")).collect()}
+    seen = class_pairs(tokens) if seen is None else seen
     names = sorted(r["class"] for r in classes.select("class").collect())
     rows = [(p, c, seen.get((p, c), 0) + 1) for p in names for c in names]
     pairs = tokens.sparkSession.createDataFrame(rows, "previous string, class string, n long")
@@ -68,9 +79,9 @@ def kupiec_counts(tokens: DataFrame, classes: DataFrame) -> tuple[DataFrame, Dat
     return single, pairs
 
 
-def kupiec_transitions(tokens: DataFrame, classes: DataFrame) -> DataFrame:
+def kupiec_transitions(tokens: DataFrame, classes: DataFrame, seen: dict[tuple[str, str], int] | None = None) -> DataFrame:
     """(tag_i, tag_j, p): counts of class pairs spread evenly over their tags, normalised."""
-    _, pairs = kupiec_counts(tokens, classes)
+    _, pairs = kupiec_counts(tokens, classes, seen)
     spread = pairs.select(F.split("previous", r"\|").alias("i"), F.split("class", r"\|").alias("j"), "n")
     spread = spread.withColumn("w", F.col("n") / (F.size("i") * F.size("j")))
     spread = spread.select(F.explode("i").alias("tag_i"), "j", "w").select("tag_i", F.explode("j").alias("tag_j"), "w")
@@ -78,13 +89,20 @@ def kupiec_transitions(tokens: DataFrame, classes: DataFrame) -> DataFrame:
     return sums.select("tag_i", "tag_j", (F.col("w") / F.sum("w").over(Window.partitionBy("tag_i"))).alias("p"))
 
 
-def kupiec_emissions(tokens: DataFrame, classes: DataFrame) -> DataFrame:
+def kupiec_emissions(tokens: DataFrame, classes: DataFrame, seen: dict[tuple[str, str], int] | None = None) -> DataFrame:
     """(tag, class, p)."""
-    single, _ = kupiec_counts(tokens, classes)
+    single, _ = kupiec_counts(tokens, classes, seen)
     spread = single.withColumn("tags", F.split("class", r"\|")).select("class", F.explode("tags").alias("tag"), (F.col("n") / F.size("tags")).alias("w"))
     return spread.select("tag", "class", (F.col("w") / F.sum("w").over(Window.partitionBy("tag"))).alias("p"))
 
 
+def kupiec_model(tokens: DataFrame, open_class: Iterable[str] = OPEN_CLASS) -> dict:
+    """Kupiec's estimate, from one count of the corpus."""
+    seen = class_pairs(tokens)
+    classes = classes_of(tokens.sparkSession, {c for _, c in seen}, open_class)
+    return model_of(kupiec_transitions(tokens, classes, seen), kupiec_emissions(tokens, classes, seen))
+
+
 def supervised_transitions(tagged: DataFrame, tags: list[str]) -> DataFrame:
     """(tag_i, tag_j, p) from one gold tag a token (column ``gold``): (n + 1) / sum(n + 1)."""
     spark = tagged.sparkSession
@@ -138,17 +156,35 @@ def model_of(transitions: DataFrame, emissions: DataFrame) -> dict:
     }
 
 
+def known_class(model: dict, class_: str) -> str:
+    """The class whose emissions stand for a class: itself, or of those seen the smallest that has all
+    its tags, or the open class; ties go to the smaller name."""
+    held = model.setdefault("similar", {})
+    if class_ not in held:
+        names = {k for _, k in model["b"]}
+        wanted = set(class_.split("|"))
+        fits = [k for k in names if wanted <= set(k.split("|"))]
+        held[class_] = class_ if class_ in names else min(fits, key=lambda k: (k.count("|"), k), default="|".join(sorted(OPEN_CLASS)))
+    return held[class_]
+
+
 def viterbi_run(model: dict, start: str, classes: list[str]) -> list[str]:
-    """The best tags; among equal ones the later previous tag (in tag order)."""
+    """The best tags; among equal ones the later previous tag (in tag order).
+
+    An unknown word, which has no tags, may have those of the open class; a class that the model
+    hasn't seen takes the emissions of a similar one.
+    """
     a, b = model["a"], model["b"]
     scores: dict[str, float] = {start: 1.0}
     paths: dict[str, list[str]] = {start: []}
     for class_ in classes:
+        own = class_ or "|".join(sorted(OPEN_CLASS))
+        like = known_class(model, own)
         new_scores, new_paths = {}, {}
-        for i in class_.split("|"):
+        for i in own.split("|"):
             best, path = 0.0, []
             for j in sorted(scores):
-                x = scores[j] * a.get((j, i), 0.0) * b.get((i, class_), 0.0)
+                x = scores[j] * a.get((j, i), 0.0) * b.get((i, like), 0.0)
                 if best <= x:
                     best, path = x, paths[j]
             new_scores[i], new_paths[i] = best, [*path, i]
@@ -167,7 +203,7 @@ def brute_force_run(model: dict, start: str, classes: list[str]) -> float:
 
 def viterbi(tokens: DataFrame, model: dict) -> DataFrame:
     """(doc_id, pos, tag) of every token; distinct runs are decoded once."""
-    shared = tokens.sparkSession.sparkContext.broadcast(model)
+    shared = tokens.sparkSession.sparkContext.broadcast({"a": model["a"], "b": model["b"]})
     rows = runs(tokens)
     distinct = rows.select("start", "classes").distinct()
 

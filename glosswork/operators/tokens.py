@@ -51,6 +51,29 @@ def streams(tokens_: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.array_join(F.transform("u", lambda x: x["lu"]), " ").alias("stream"))
 
 
+def analysed(surface: Column) -> Column:
+    """A word's stream text with all its readings."""
+    low = F.lower(surface)
+
+    def text(tags) -> Column:
+        return F.concat(F.lit("^"), surface, *[part for t in tags for part in (F.lit("/"), low, F.lit(f"<{t}>"))], F.lit("$"))
+
+    out = F.when(surface.isin(list(SENTENCE_END)), text(("sent",)))
+    for ending, tags in ENDINGS:
+        out = out.when(F.endswith(low, F.lit(ending)), text(tags))
+    return out.otherwise(text(OTHER))
+
+
+def text_streams(docs: DataFrame, unit=analysed, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, stream) of documents with words, as streams() of their tokens, within the row: nothing is shuffled.
+
+    ``unit`` makes the stream text of a word.
+    """
+    found = F.regexp_extract_all(F.col(text_col), F.lit(rf"(\p{{L}}+|[{SENTENCE_END}])"), F.lit(1))
+    rows = docs.select(F.col(id_col).alias("doc_id"), found.alias("found")).where(F.size("found") > 0)
+    return rows.select("doc_id", F.array_join(F.transform("found", unit), " ").alias("stream"))
+
+
 def sentences(tokens_: DataFrame) -> DataFrame:
     """The tokens with ``sent_id``: a sentence ends with a token whose only reading is sent."""
     before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
