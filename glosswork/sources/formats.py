@@ -46,6 +46,11 @@ class Format:
     def __post_init__(self) -> None:
         self.rules = sorted(self.rules, key=lambda r: r.priority)
         self.escaped = re.compile(f"[{re.escape(self.escapes)}]")
+        # wherever anything but plain text may begin
+        flags = ((re.IGNORECASE, "i"), (re.DOTALL, "s"), (re.MULTILINE, "m"), (re.VERBOSE, "x"))
+        begins = [r.begin for r in self.rules] + ([self.replace] if self.replace else [])
+        named = [(p.pattern, "".join(c for f, c in flags if p.flags & f)) for p in begins]
+        self.marks = re.compile("|".join([f"[{re.escape(self.spaces)}]", *[f"(?{f}:{p})" if f else f"(?:{p})" for p, f in named]]))
 
     def escape(self, text: str) -> str:
         return self.escaped.sub(lambda m: "\\" + m[0], text)
@@ -99,6 +104,14 @@ def deformat(text: str, fmt: Format, dot: bool = True, always: bool = False, hea
     w = _Writer(fmt, dot, always, headings)
     at = 0
     while at < len(text):
+        m = fmt.marks.search(text, at)
+        plain = m.start() if m else len(text)
+        if plain > at:
+            if w.blank or w.eos or w.eoh:
+                w.flush()
+            w.out.append(fmt.escape(text[at:plain]))
+            at = plain
+            continue
         found = fmt.match(text, at)
         if found:
             rule, stop = found

@@ -219,3 +219,27 @@ def test_lookups_and_zips(spark, corpus):
     assert [r.sent_id for r in lookups.matching_sentences(one, two).collect()] == [1] and lookups.zip_corpora(one, one).count() == 2
     with pytest.raises(Exception, match="surfaces differ"):
         lookups.zip_corpora(one, two).collect()
+
+
+def test_a_word_that_one_corpus_lacks_stops_the_zip(spark):
+    two = spark.createDataFrame([(1, 0, "a"), (1, 1, "b")], "sent_id long, pos long, surface string")
+    for one, other in ((two, two.limit(1)), (two.limit(1), two)):
+        with pytest.raises(Exception, match="surfaces differ"):
+            lookups.zip_corpora(one, other).collect()
+
+
+def test_unseen_classes_take_similar_ones_and_unknown_words_the_open_class():
+    """By hand: v follows sent much more often than n, and adj|n|v has the emissions of adj|n|v|x."""
+    a = {("sent", t): p for t, p in (("adj", 0.1), ("n", 0.2), ("v", 0.7), ("x", 0.0))}
+    b = {(t, "adj|n|v|x"): 0.5 for t in ("adj", "n", "v", "x")} | {("v", "v"): 0.5}
+    assert tagger.viterbi_run({"a": a, "b": b}, "sent", ["adj|n|v"]) == ["v"]
+    a = {("sent", t): p for t, p in (("adj", 0.1), ("adv", 0.4), ("n", 0.3), ("vblex", 0.2))}
+    b = {(t, "adj|adv|n|vblex"): 0.25 for t in ("adj", "adv", "n", "vblex")}
+    assert tagger.viterbi_run({"a": a, "b": b}, "sent", [""]) == ["adv"]
+    assert tagger.known_class({"a": a, "b": b}, "n|vblex") == "adj|adv|n|vblex"
+
+
+def test_mixed_training_starts_from_the_mean(spark):
+    rows = spark.createDataFrame([("^a/a<n>/a<v>$ ^b/b<n>/b<v>$", "^a/a<n>$ ^b/b<v>$")] * 6, "untagged string, tagged string").repartition(2)
+    model = perceptron.train_distributed(rows, perceptron.Templates(perceptron.DEFAULT), rounds=3)
+    assert perceptron.tag_text("^a/a<n>/a<v>$ ^b/b<n>/b<v>$", model) == "^a<n>$ ^b<v>$"
