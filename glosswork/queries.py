@@ -90,10 +90,10 @@ def q_highpass_words(spark, sf_dir):
     return tok.by_share(tok.vocabulary(tok.words(documents(spark, sf_dir))), 0.5, low=False).select("word", "n")
 
 
-@query(f"WITH {WORDS} SELECT doc_id, count(*) AS n_lines, CAST(sum(length(surface || ' {{') + 2) AS BIGINT) AS chars FROM w WHERE pos < 100 GROUP BY doc_id")
+@query(f"WITH {WORDS} SELECT doc_id, count(*) AS n_lines, CAST(sum(length(surface || ' {{') + 2) AS BIGINT) AS chars FROM w GROUP BY doc_id")
 def q_readwords(spark, sf_dir):
     rows = tok.words(documents(spark, sf_dir)).withColumn("tags", F.array().cast("array<string>"))
-    lines = tok.read_words(rows, 100)
+    lines = tok.read_words(rows)
     return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line") + 1).alias("chars"))
 
 
@@ -220,11 +220,26 @@ def q_apply_rules(spark, sf_dir):
 
 def _model(spark, sf_dir):
     rows = toks(spark, sf_dir)
-    classes = tagger.ambiguity_classes(rows)
-    return rows, tagger.model_of(tagger.kupiec_transitions(rows, classes), tagger.kupiec_emissions(rows, classes))
-
-
-@query()
+    return rows, tagger.kupiec_model(rows)
+
+
+#: Kupiec's model as two maps, distinct runs, and for each the best path to every tag of its next word.
+_VITERBI = f"""WITH RECURSIVE {_PAIRS},
+e AS (SELECT i, unnest(jt) AS j, w FROM (SELECT unnest(it) AS i, jt, n / (len(it) * len(jt)) AS w FROM k)), es AS (SELECT i, j, sum(w) AS w FROM e GROUP BY 1, 2),
+tr AS (SELECT i || ' ' || j AS key, w / sum(w) OVER (PARTITION BY i) AS p FROM es),
+g AS (SELECT previous AS class, any_value(it) AS tags, sum(n - 1) + 1 AS n FROM k GROUP BY 1), h AS (SELECT class, unnest(tags) AS tag, n / len(tags) AS w FROM g),
+em AS (SELECT tag || ' ' || class AS key, w / sum(w) OVER (PARTITION BY tag) AS p FROM h),
+m AS (SELECT (SELECT map(list(key), list(p)) FROM tr) AS a, (SELECT map(list(key), list(p)) FROM em) AS b),
+w AS (SELECT doc_id, pos, class, lag(class, 1, 'sent') OVER d AS before, coalesce(sum((len(tags) = 1)::BIGINT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM t WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+r AS (SELECT doc_id, run, first(before ORDER BY pos) AS start, list(class ORDER BY pos) AS classes FROM w GROUP BY 1, 2),
+v AS (SELECT start, classes, 0 AS done, [{{'t': start, 'x': 1.0::DOUBLE, 'p': []::VARCHAR[]}}] AS best FROM (SELECT DISTINCT start, classes FROM r)
+ UNION ALL SELECT start, classes, done + 1, list_transform(string_split(classes[done + 1], '|'), lambda i: list_reduce(list_prepend({{'t': i, 'x': 0.0::DOUBLE, 'p': [i]}},
+  list_transform(best, lambda s: {{'t': i, 'x': s.x * a[s.t || ' ' || i] * b[i || ' ' || classes[done + 1]], 'p': list_append(s.p, i)}})), lambda u, y: CASE WHEN u.x <= y.x THEN y ELSE u END)) FROM v, m WHERE done < len(classes)),
+z AS (SELECT start, classes, list_reduce(best, lambda u, y: CASE WHEN u.x <= y.x THEN y ELSE u END).p AS path FROM v WHERE done = len(classes))
+SELECT doc_id, tag, count(*) AS n FROM (SELECT doc_id, unnest(path) AS tag FROM r JOIN z USING (start, classes)) GROUP BY 1, 2"""
+
+
+@query(_VITERBI)
 def q_viterbi(spark, sf_dir):
     rows, model = _model(spark, sf_dir)
     return tagger.viterbi(rows, model).groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("n"))
@@ -297,6 +312,6 @@ def q_unigram3_counts(spark, sf_dir):
     return _counts(spark, sf_dir)[1].groupBy("tag").agg(F.sum("f").alias("sum_f"), F.count(F.lit(1)).alias("lemmas"), F.max("f").alias("max_f"))
 
 
-@query(f"WITH {TOKENS}, nn AS (SELECT CAST(round(exp(sum(ln(k)))) AS BIGINT) AS coefficient FROM (SELECT DISTINCT len(tags) AS k FROM t)) SELECT coefficient FROM nn")
+@query(f"WITH {TOKENS}, f AS (SELECT len(tags) AS k, row_number() OVER (ORDER BY min(doc_id * 10000000 + pos)) AS i FROM t GROUP BY 1), l AS (SELECT list(k ORDER BY i) AS ks FROM f) SELECT CAST(list_reduce(list_prepend(1, ks), lambda c, k: CASE WHEN c % k = 0 THEN c ELSE c * k END) AS BIGINT) AS coefficient FROM l")
 def q_coefficient(spark, sf_dir):
     return spark.createDataFrame([(tagger.corpus_coefficient(toks(spark, sf_dir)),)], "coefficient long")
