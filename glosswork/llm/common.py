@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
@@ -44,6 +45,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files (and checkpoints) of plans that are done.
+
+    It does so once the driver's garbage is collected, which a driver with little to do puts off
+    while the files of a long job pile up. Called where the plans before have been cut.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def store_path(spark: SparkSession, name: str) -> str:
     """A new place below the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

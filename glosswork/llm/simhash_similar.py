@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, small_side
+from .common import cut_lineage, release, small_side
 from .simhash import SHIFTED, STRIP, components, shingle_hashes
 
 WIDTH = 5
@@ -140,6 +140,7 @@ def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str)
     texts = docs.select(F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash")).join(wanted, "text_hash")
     texts = texts.groupBy("key").agg(F.min("text").alias("text"))
     sets = cut_lineage(texts.mapInArrow(_whole_sets, "key long, whole array<long>"))
+    release(docs.sparkSession)
     left, right = (sets.select(F.col("key").alias(c), F.col("whole").alias(f"whole_{c}")) for c in "ab")
     both = F.size(F.array_intersect("whole_a", "whole_b"))
     enough = UNDER * both >= OVER * (F.size("whole_a") + F.size("whole_b") - both)
@@ -244,6 +245,7 @@ def similar_roots(rows: DataFrame, docs: DataFrame, text_col: str = "text", tile
     # buckets of the same sets (by number and exclusive-or of their 64-bit keys) are one bucket
     many = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("all"), F.bit_xor("key").alias("sets")).where("all > 1")
     many = cut_lineage(many.groupBy("all", "sets").agg(F.min("token").alias("token")).select("token"))
+    release(rows.sparkSession)
     shared = cut_lineage(tokens.join(small_side(many, WANTED), "token"))
     held, edges, tried = shared.withColumn("root", F.col("key")), None, None
     for turn in range(ROUNDS):
@@ -256,12 +258,17 @@ def similar_roots(rows: DataFrame, docs: DataFrame, text_col: str = "text", tile
         pairs = cut_lineage(_possible(pairs, nodes))
         found = _similar(pairs, nodes, docs, text_col)
         edges, tried = (found, pairs) if edges is None else (edges.unionByName(found), tried.unionByName(pairs))
+        release(rows.sparkSession)
         roots = small_side(components(edges))
         held = shared.join(roots, F.col("key") == F.col("node"), "left").select("token", "key", "n", F.coalesce("root", "key").alias("root"))
         apart = held.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("token")
         held = cut_lineage(held.join(apart, "token"))
+        release(rows.sparkSession)
     pairs = cut_lineage(_tiled_pairs(held, nodes, tile).join(tried, ["a", "b"], "left_anti"))
-    return components(edges.unionByName(_similar(pairs, nodes, docs, text_col)))
+    release(rows.sparkSession)
+    edges = edges.unionByName(_similar(pairs, nodes, docs, text_col))
+    release(rows.sparkSession)
+    return components(edges)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -271,6 +278,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     names of the columns don't matter.
     """
     rows = cut_lineage(shingle_rows(docs, id_col, text_col).withColumn("at", F.monotonically_increasing_id()))
+    release(docs.sparkSession)
     roots = small_side(similar_roots(rows, docs, text_col))
     marks = rows.select("doc_id", "text_hash", "key").join(roots, F.col("key") == F.col("node"), "left")
     same = marks.groupBy(F.coalesce("root", "key").alias("root"), "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
