@@ -33,6 +33,13 @@ def comment(begin: str, end: str, eos: bool = False, priority: int = 2) -> Rule:
     return Rule(re.compile(begin, re.IGNORECASE | re.DOTALL), re.compile(end, re.IGNORECASE | re.DOTALL), eos, False, priority)
 
 
+def _any(patterns: Iterable[re.Pattern]) -> re.Pattern:
+    """Wherever one of the patterns begins, each with its own flags."""
+    flags = ((re.IGNORECASE, "i"), (re.DOTALL, "s"), (re.MULTILINE, "m"), (re.VERBOSE, "x"))
+    named = [(p.pattern, "".join(c for f, c in flags if p.flags & f)) for p in patterns]
+    return re.compile("|".join(f"(?{f}:{p})" if f else f"(?:{p})" for p, f in named))
+
+
 @dataclass
 class Format:
     name: str
@@ -47,10 +54,14 @@ class Format:
         self.rules = sorted(self.rules, key=lambda r: r.priority)
         self.escaped = re.compile(f"[{re.escape(self.escapes)}]")
         # wherever anything but plain text may begin
-        flags = ((re.IGNORECASE, "i"), (re.DOTALL, "s"), (re.MULTILINE, "m"), (re.VERBOSE, "x"))
         begins = [r.begin for r in self.rules] + ([self.replace] if self.replace else [])
-        named = [(p.pattern, "".join(c for f, c in flags if p.flags & f)) for p in begins]
-        self.marks = re.compile("|".join([f"[{re.escape(self.spaces)}]", *[f"(?{f}:{p})" if f else f"(?:{p})" for p, f in named]]))
+        self.marks = _any([re.compile(f"[{re.escape(self.spaces)}]"), *begins])
+        # inside a comment: its end, and the rules of lower priority numbers, which still hold there
+        self.inner = {}
+        for rule in self.rules:
+            if rule.end is not None:
+                rules = [r for r in self.rules if r.priority < rule.priority]
+                self.inner[rule] = (rules, _any([rule.end, *[r.begin for r in rules]]))
 
     def escape(self, text: str) -> str:
         return self.escaped.sub(lambda m: "\\" + m[0], text)
@@ -63,6 +74,35 @@ class Format:
                 best = (m.end(), rule)
         return (best[1], best[0]) if best else None
 
+    def close(self, text: str, at: int, rule: Rule) -> tuple[int, bool, bool]:
+        """Where a comment that was opened before ``at`` ends, and whether it ends a sentence or a heading.
+
+        Rules of lower priority numbers hold inside, comments among them with ends of their own; of
+        what begins at one place the longest counts, and a rule before the end.
+        """
+        open_, eos, eoh = [rule], rule.eos, rule.eoh
+        while open_:
+            rules, marks = self.inner[open_[-1]]
+            m = marks.search(text, at)
+            if not m:
+                return len(text), eos, eoh
+            here = m.start()
+            end = open_[-1].end.match(text, here)
+            best, found = (end.end() if end else -1), None
+            for r in rules:
+                m = r.begin.match(text, here)
+                if m and m.end() > here and (m.end() > best or found is None and m.end() == best):
+                    best, found = m.end(), r
+            if found is None:
+                if end:
+                    open_.pop()
+                at = max(best, here if end else here + 1)
+                continue
+            at, eos, eoh = best, eos or found.eos, eoh or found.eoh
+            if found.end is not None:
+                open_.append(found)
+        return at, eos, eoh
+
 
 @dataclass
 class _Writer:
@@ -115,11 +155,11 @@ def deformat(text: str, fmt: Format, dot: bool = True, always: bool = False, hea
         found = fmt.match(text, at)
         if found:
             rule, stop = found
+            eos, eoh = rule.eos, rule.eoh
             if rule.end is not None:
-                m = rule.end.search(text, stop)
-                stop = m.end() if m else len(text)
+                stop, eos, eoh = fmt.close(text, stop, rule)
             w.blank.append(text[at:stop])
-            w.eos, w.eoh = w.eos or rule.eos, w.eoh or rule.eoh
+            w.eos, w.eoh = w.eos or eos, w.eoh or eoh
             at = stop
             continue
         c = text[at]
@@ -179,6 +219,7 @@ _XML_COMMENT = comment("<!--", "-->", priority=1)
 _BLOCKS = "br|hr|p|li|ul|ol|tr|td|th|div|option"
 _HTML = [
     _XML_COMMENT,
+    comment(r"\{\{", r"\}\}", priority=1),
     *[_skipped(n) for n in ("script", "style")],
     comment(rf"<[a-z]+-notrans{_ARGS}>", r"</[a-z]+-notrans>"),
     _elements(rf"{_BLOCKS}|title|h[1-6]", eos=True),
@@ -226,8 +267,21 @@ def _rtf(codepage: str) -> Format:
     return fmt
 
 
-def _office(paragraphs: str, skipped: Iterable[str] = ()) -> list[Rule]:
-    return [_XML_COMMENT, *[_skipped(s) for s in skipped], comment(r"&lt;[a-z]+-notrans[^&]*&gt;", r"&lt;/[a-z]+-notrans&gt;"), _elements(paragraphs, eos=True), _elements(paragraphs, "/", eos=True), *_REST]
+#: Formats whose braces are blanks and not escaped.
+_BRACES = {"spaces": " \n\t\r<>{}~", "escapes": "][^@\\/$"}
+
+
+def _office(name: str, paragraphs: str, skipped: Iterable[Rule], priority: int = 3, **options) -> Format:
+    """Bodies of office documents: only paragraphs end sentences, and so do some skipped parts."""
+    rules = [
+        _XML_COMMENT,
+        *skipped,
+        comment(r"&lt;[a-z]+-notrans(?: [^>]*?)?&gt;", r"&lt;/[a-z]+-notrans&gt;"),
+        _elements(paragraphs, eos=True, priority=priority),
+        _elements(paragraphs, "/", eos=True, priority=priority),
+        *_REST,
+    ]
+    return Format(name, rules, replace=_ENTITY, to_text={"&apos;": "'"}, **options)
 
 
 _TITLES = "part|chapter|(?:sub)*section|title|frametitle|caption|footnote|framebox|thanks|mline|paragraph"
@@ -243,7 +297,6 @@ FORMATS: dict[str, Format] = {
             "html-alt",
             [
                 *_HTML,
-                comment(r"\{\{", r"\}\}", priority=1),
                 tag(r"<link(?: [^>]*)?>", priority=4),
                 tag(r"<[!?][a-z][^>]*>", priority=5),
                 tag(r"<(?:img|input|area)(?: [^><]+)* alt=[\"']", priority=5),
@@ -252,28 +305,32 @@ FORMATS: dict[str, Format] = {
                 tag(r"</[a-z][^>]*>|<[a-z][^> ]*>", priority=5),
             ],
         ),
-        Format("odt", _office("text:(?:p|h|list-item|tab|line-break)", ("office:(?:styles|automatic-styles|meta|settings|font-face-decls)", "text:tracked-changes"))),
-        Format("pptx", _office("a:p|a:br", ("p:extLst",))),
-        Format("xlsx", _office("si|row", ("rPh", "phoneticPr"))),
-        Format("wxml", _office("w:p", ("Properties", "pkg:binaryData", "w:instrText", "w:drawing"))),
+        _office("odt", "text:[hp]", [_skipped("math:[a-z]+"), comment(r"<math(?: xmlns=[^>]*)?>", r"</math>")], **_BRACES),
+        _office("pptx", "a:p", [_skipped(n, eos=True) for n in ("pkg:binaryData", "p:timing")], **_BRACES),
+        _office("xlsx", "si", [_skipped("f", eos=True)]),
+        _office("wxml", "w:p", [_skipped("Properties"), *[_skipped(n, eos=True, priority=3) for n in ("pkg:binaryData", "w:instrText", "w:drawing")]], priority=4),
         _rtf("cp1250"),
         _rtf("cp1251"),
         Format(
             "mediawiki",
             [
                 _XML_COMMENT,
-                *[_skipped(n) for n in ("siteinfo", "comment", "id", "contributor", "timestamp", "style", "parentid", "sha1", "model", "format", "ns")],
+                comment(r"&lt;!--", r"--&gt;", priority=1),
+                *[_skipped(n) for n in ("script", "style")],
+                comment(rf"<[a-z]+-notrans{_ARGS}>", r"</[a-z]+-notrans>"),
+                *[comment(f"<{n}>", f"</{n}>") for n in ("siteinfo", "comment", "id", "contributor", "timestamp")],
                 comment(r"\{\{", r"\}\}"),
                 comment(r"&lt;math&gt;", r"&lt;/math&gt;"),
-                tag(r"={2,6}", eos=True),
-                tag(r"\n[*#:;]+ ?", eos=True),
-                tag(r"\n\n+", eos=True),
-                tag(r"'{2,5}"),
-                tag(r"\[\[(?:[^\]|]*\|)?|\]\]|\[https?://[^ \]]* ?|\]"),
-                _elements("page|revision|title|text|br|hr|p|li|ul|ol", eos=True),
-                _elements("page|revision|title|text|p|li|ul|ol", "/", eos=True),
+                tag(r"[\[\]]|''+", priority=1),
+                tag(r"(?m:^)[*=:;#]+", priority=1),
+                tag(r"==+", eos=True, priority=1),
+                tag(r"\[\[(?:[a-z]{2,3}|image|file):[^\]]*\]\]"),
+                _elements(rf"{_BLOCKS}|title|h[1-6]", eos=True),
+                _elements(rf"{_BLOCKS}|title|h[1-6]", "/", eos=True),
                 *_REST,
+                tag(r"&lt;/?[a-z][^&]*&gt;", priority=5),
             ],
+            **_BRACES,
         ),
         Format("xpresstag", [tag(r"<[^>]*->", eos=True, priority=1), tag(r"@[^:=\n]*[:=]", eos=True, priority=2), tag(r"<[^>]*>")]),
         Format(

@@ -37,6 +37,25 @@ def test_blanks_of_html():
     assert formats.offsets("a <b>c</b>", html)[0] == {"offset": 1, "order": 1, "tag": " <b>"}
 
 
+def test_parts_that_formats_skip():
+    def blanks(text, name):
+        return formats.deformat(text, formats.FORMATS[name])
+
+    for name in ("html", "html-noent", "html-alt"):
+        assert blanks("a {{x <b>}} c", name) == "a[ \\{\\{x <b>\\}\\} ]c.[]"
+    assert blanks("<script>a <!-- </script> --> b</script>c", "html") == "[<script>a <!-- <\\/script> --> b<\\/script>]c.[]"
+    assert blanks("a<script>b <!-- c", "html") == "a.[][<script>b <!-- c]"
+    assert blanks("<text:p>It&apos;s <math:mi>x</math:mi> {ok}</text:p>", "odt") == ".[][<text:p>]It's[ <math:mi>x<\\/math:mi> {]ok.[][}<\\/text:p>]"
+    assert blanks("<text:tab/>a<text:line-break/>b", "odt") == "[<text:tab\\/>]a[<text:line-break\\/>]b.[]"
+    assert blanks("a <w:drawing>x</w:drawing> b", "wxml") == "a.[][ <w:drawing>x<\\/w:drawing> ]b.[]"
+    assert blanks("a<Properties>x</Properties>b", "wxml") == "a[<Properties>x<\\/Properties>]b.[]"
+    assert blanks("<w:drawing>a<Properties></w:drawing></Properties>b</w:drawing>c", "wxml").endswith("b<\\/w:drawing>]c.[]")
+    assert blanks("<si>a</si><f>1+b</f>c", "xlsx") == ".[][<si>]a.[][<\\/si><f>1+b<\\/f>]c.[]"
+    assert blanks("a &lt;!-- b --&gt; c", "mediawiki") == "a[ &lt;!-- b --&gt; ]c.[]"
+    assert blanks("[[file:x.png]]a [[One|two]] b", "mediawiki") == "[\\[\\[file:x.png\\]\\]]a[ \\[\\[]One|two[\\]\\] ]b.[]"
+    assert blanks("== One ==\n* a", "mediawiki") == "[== ]One.[][ ==\n* ]a.[]"
+
+
 def test_code_pages():
     rtf = formats.FORMATS["rtf-cp1250"]
     assert formats.deformat("\\b\\'9a\\'e1 x", rtf) == "[\\\\b]šá x.[]" and formats.reformat("[\\\\b]šá x.[]", rtf) == "\\b\\'9a\\'e1 x"
