@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.align import is_unit, xml_unit
+from ..operators.align import align_texts, is_unit, xml_unit
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
@@ -66,6 +66,15 @@ def unit_column(source: str = "source", target: str = "target", source_lang: str
     return unit(source, target)
 
 
+def build_memory(texts: DataFrame, source_lang: str = "a", target_lang: str = "b") -> DataFrame:
+    """(pair_id, step, source, target, unit) of (pair_id, source, target): from two texts to ``<tu>`` elements.
+
+    Sentences are split and aligned; of the aligned stretches those stay whose sides are both units.
+    The rows are what write_tmx() takes.
+    """
+    return align_texts(texts).withColumn("unit", unit_column(source_lang=source_lang, target_lang=target_lang)).where("unit is not null")
+
+
 def write_tmx(pairs: DataFrame, path: str, source_lang: str = "a", target_lang: str = "b") -> None:
     """Part files of ``<tu>`` lines; tmx_document() puts them between a head and a foot."""
     pairs.select(unit_column(source_lang=source_lang, target_lang=target_lang).alias("value")).where("value is not null").write.mode("overwrite").text(path)

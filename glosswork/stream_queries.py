@@ -318,6 +318,12 @@ def q_tmx_units(spark, sf_dir):
     return rows.select("conv_id", "turn", F.md5(corpora.unit_column().cast("binary")).alias("digest")).where("digest is not null")
 
 
+@query()
+def q_memory_units(spark, sf_dir):
+    rows = turn_pairs(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), F.col("a").alias("source"), F.col("b").alias("target"))
+    return corpora.build_memory(rows).select("pair_id", "step", F.md5(F.col("unit").cast("binary")).alias("digest"))
+
+
 @query(f"WITH {_TURNS}, a AS (SELECT DISTINCT conv_id, turn % 3 AS s FROM q WHERE length(a) > 100), b AS (SELECT DISTINCT conv_id, turn % 3 AS s FROM q WHERE length(b) > 100) SELECT round((SELECT count(*) FROM a JOIN b USING (conv_id, s)) / (SELECT count(*) FROM a), 9) AS precision, round((SELECT count(*) FROM a JOIN b USING (conv_id, s)) / (SELECT count(*) FROM b), 9) AS recall")
 def q_precision_recall(spark, sf_dir):
     rows = turn_pairs(spark, sf_dir).withColumn("source", F.col("turn") % 3).withColumn("target", F.lit(0)).withColumn("pair_id", F.col("conv_id"))

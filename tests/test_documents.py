@@ -191,6 +191,33 @@ def test_alignment_filters(spark):
     assert got == {1: [(0, 0), (1, 1), (2, 2)], 2: [], 3: []}
 
 
+def test_memory_from_two_texts(spark, tmp_path):
+    one = "The red house is old. It has a very big & green door! Yes."
+    two = "The red house is old. It has a very big & green gate! Yes."
+    rows = [(1, one, two), (2, None, two), (3, "", ""), (4, "A cat. " * 12, "A cat."), (5, one, one)]
+    got = corpora.build_memory(spark.createDataFrame(rows, "pair_id long, source string, target string"), "x", "y").collect()
+    unit = '<tu><tuv xml:lang="x"><seg>{}</seg></tuv><tuv xml:lang="y"><seg>{}</seg></tuv></tu>'
+    house, door = "The red house is old", "It has a very big &amp; green {}!"
+    assert sorted((r.pair_id, r.step, r.unit) for r in got) == [
+        (1, 0, unit.format(house, house)),
+        (1, 1, unit.format(door.format("door"), door.format("gate"))),
+        (5, 0, unit.format(house, house)),
+        (5, 1, unit.format(door.format("door"), door.format("door"))),
+    ]
+    document = "".join(corpora.tmx_document((r.unit for r in got if r.pair_id == 1), "x"))
+    assert corpora.read_tmx(document, "x", "y")[1] == ("It has a very big & green door!", "It has a very big & green gate!")
+
+
+def test_steps_without_paragraph_marks():
+    p = [align.PARAGRAPH]
+    source, target = [["a"], p, ["b"]], [["a"], p]
+    rungs, running = [(0, 0), (2, 2), (3, 2)], [0.0, 2.31, 2.01]
+    assert align.segment_scores(rungs, running) == pytest.approx([1.155, -0.3])
+    assert align.segment_scores(rungs, running, source, target) == pytest.approx([2.0, -0.3])
+    assert align.segment_scores([(0, 0), (1, 1)], [0.0, 0.31], [p], [p]) == [0.0]
+    assert align.segment_scores([(0, 0), (1, 0)], [0.0, -0.3], [p], []) == [0.0]
+
+
 def test_blanks_and_second_alignment():
     assert align.compatible_blanks("[a]x[b]", "[a] y [b]") and not align.compatible_blanks("[a]x", "x[b]") and align.compatible_blanks("[a]x", "x[b]", lazy=True)
     source, target = [["eins"], ["zwei", "drei"], ["vier"]], [["one"], ["two", "three"], ["four"]]
