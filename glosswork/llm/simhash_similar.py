@@ -7,14 +7,21 @@ their fingerprints in bits, so a radius that follows from the sizes of the sets
 that aren't similar. As in simhash.py, numpy compares tiles exactly by exclusive-or and bit counts and
 skips strips whose population counts differ beyond the radius; what is left is verified by whole sets.
 
+Parities of more shingles than bits tell nothing, so sets beyond PIECE are compared by pieces, ranges
+of the shingles' hashes of PIECE / 4 to PIECE each: of the pieces of two similar sets at least one pair
+reaches the similarity too, or all together wouldn't. The number of pieces follows from the size, and
+a set that may be similar to one with more has pieces for both numbers. A set up to PIECE is one piece.
+
 All pairs that reach the similarity are found. Two sets that reach it share a shingle among the first
 n - ceil(0.8 n) + 1 of each, in any one order of all shingles (prefix filtering), so only sets with
 such a shingle in common, a bucket, meet. The order puts common shingles last, by counts in a share
 of the texts; it decides how many pairs are compared, never which are found.
 
 The sets of a bucket are first compared with one of them, and the components of what is verified so
-are taken, twice. A large group of near copies is joined by that without its square of pairs. Tiles
-are then compared where a bucket still has sets of different components.
+are taken. Once more, large buckets are compared with several of their sets, so that those at the edge
+of a group, which aren't similar to all of it, meet some that they are similar to. A large group of
+near copies is joined by that without its square of pairs. Tiles are then compared where a bucket
+still has sets of different components.
 
 Defined results: texts of fewer than five words are one shingle; texts without words (null, empty,
 blanks) are copies of each other; equal sets are copies. Shingles are told apart by 64-bit hashes.
@@ -40,8 +47,12 @@ OVER, UNDER = 4, 5
 SAMPLE, SHARE = 20_000, 8
 #: Bits of a fingerprint, in words of 64.
 BITS, BLOCKS = 1024, 16
-#: Rounds of comparing with one set of each bucket; sets that are taken in turn within a round.
+#: Shingles of a piece, and how many times as many pieces the next larger sets have (as bits of a hash).
+PIECE, FINER = 1024, 2
+#: Rounds of comparing with single sets of each bucket; sets that are taken in turn within the first round.
 ROUNDS, PIVOTS = 2, 4
+#: Sets from which a bucket is large, and the number of its sets compared with all of it from the second round on.
+LARGE, MANY = 64, 16
 #: Most sets on a side of a compared tile pair.
 TILE = 4096
 #: Rows (two numbers each) up to which the texts to compare are named by a broadcast.
@@ -69,6 +80,30 @@ def parities(own: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool)).view(np.uint64)
 
 
+def level(n: int) -> int:
+    """The least number of steps after which pieces of n shingles have PIECE at most, on average."""
+    steps = 0
+    while n > PIECE << (FINER * steps):
+        steps += 1
+    return steps
+
+
+def pieces(key: int, own: np.ndarray, common: np.ndarray, counts: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(key, shingles, tokens) of the pieces by which a set of more than one is compared.
+
+    A similar set has a quarter more shingles at most, so pieces of its level are among these. Tokens
+    are the prefix, told apart by level.
+    """
+    out = []
+    for steps in sorted({level(len(own)), level(len(own) * UNDER // OVER)} - {0}):
+        edges = np.arange(1, 1 << (FINER * steps), dtype=np.uint64) << np.uint64(64 - FINER * steps)
+        for k, part in enumerate(np.split(own, np.searchsorted(own, edges))):
+            if len(part):
+                name = xxhash.xxh64_intdigest(np.array([key, steps, k], np.uint64).tobytes())
+                out.append((name, part, prefix(part, common, counts) ^ np.uint64(xxhash.xxh64_intdigest(b"level %d" % steps))))
+    return out
+
+
 def _lists(parts: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
     flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
@@ -95,7 +130,10 @@ def common_shingles(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndar
 
 
 def shingle_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, key (of the set), n (its size), odd (parities), first (its prefix) of every row."""
+    """doc_id, text_hash, key (of the set), n (its size), odd (parities), first (its prefix), parts of every row.
+
+    Where a set is compared by pieces only, ``first`` is empty; ``parts`` are they.
+    """
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_col))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,11 +142,18 @@ def shingle_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 part = batch.slice(at, 500)
                 sets = [shingle_set(t) for t in part.column(2).to_pylist()]
                 keys = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-                arrays = [part.column(0), part.column(1), pa.array(keys), pa.array([len(s) for s in sets], pa.int32()), _lists([parities(s) for s in sets]), _lists([prefix(s, *common.value) for s in sets])]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_hash", "key", "n", "odd", "first"])
+                firsts = [prefix(s, *common.value) if len(s) <= PIECE else s[:0] for s in sets]
+                arrays = [part.column(0), part.column(1), pa.array(keys), pa.array([len(s) for s in sets], pa.int32()), _lists([parities(s) for s in sets]), _lists(firsts)]
+                own = [pieces(int(k), s, *common.value) for k, s in zip(keys.view(np.uint64), sets)]
+                ends, flat = np.cumsum([0, *map(len, own)]).astype(np.int32), [x for some in own for x in some]
+                names = np.array([x[0] for x in flat], np.uint64).view(np.int64)
+                columns = [pa.array(names), pa.array([len(x[1]) for x in flat], pa.int32()), _lists([parities(x[1]) for x in flat]), _lists([x[2] for x in flat])]
+                arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(columns, names=["key", "n", "odd", "first"])))
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_hash", "key", "n", "odd", "first", "parts"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(read, "doc_id long, text_hash long, key long, n int, odd array<long>, first array<long>")
+    piece = "key long, n int, odd array<long>, first array<long>"
+    return rows.mapInArrow(read, f"doc_id long, text_hash long, {piece}, parts array<struct<{piece}>>")
 
 
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,24 +172,26 @@ def _ordered(x: str, y: str) -> list[Column]:
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Without the pairs whose fingerprints differ too much: a similar pair differs in a ninth of its sizes at most."""
-    left, right = (nodes.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}")) for c in "ab")
+    """Owners of the pairs of pieces but those whose fingerprints differ too much: a similar pair differs in a ninth of its sizes at most."""
+    left, right = (nodes.select(F.col("key").alias(c), F.col("owner").alias(f"own_{c}"), F.col("n").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}")) for c in "ab")
     differing = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return pairs.join(left, "a").join(right, "b").where((UNDER + OVER) * differing <= (UNDER - OVER) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    near = pairs.join(left, "a").join(right, "b").where((UNDER + OVER) * differing <= (UNDER - OVER) * (F.col("n_a") + F.col("n_b")))
+    return near.select(*_ordered("own_a", "own_b")).distinct()
+
 
+def _similar(pairs: DataFrame, names: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """Those of the (checkpointed) pairs (a, b) of keys whose whole sets reach the similarity.
 
-def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """Those of the (checkpointed) pairs (a, b) of keys whose whole sets reach the similarity."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    wanted = small_side(cut_lineage(nodes.select("key", "text_hash").join(wanted, "key")), WANTED)
+    A pair gets its two sets by itself, so sets are shuffled once and never kept.
+    """
+    sides = pairs.select(F.explode(F.array("a", "b")).alias("key"), "a", "b")
+    wanted = small_side(cut_lineage(names.join(sides.select("key").distinct(), "key")), WANTED)
     texts = docs.select(F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash")).join(wanted, "text_hash")
     texts = texts.groupBy("key").agg(F.min("text").alias("text"))
-    sets = cut_lineage(texts.mapInArrow(_whole_sets, "key long, whole array<long>"))
-    release(docs.sparkSession)
-    left, right = (sets.select(F.col("key").alias(c), F.col("whole").alias(f"whole_{c}")) for c in "ab")
-    both = F.size(F.array_intersect("whole_a", "whole_b"))
-    enough = UNDER * both >= OVER * (F.size("whole_a") + F.size("whole_b") - both)
-    return cut_lineage(pairs.join(left, "a").join(right, "b").where(enough).select("a", "b"))
+    sets = texts.mapInArrow(_whole_sets, "key long, whole array<long>").join(small_side(sides, WANTED), "key")
+    both = sets.groupBy("a", "b").agg(F.collect_list("whole").alias("w")).withColumn("both", F.size(F.array_intersect(F.col("w")[0], F.col("w")[1])))
+    enough = UNDER * F.col("both") >= OVER * (F.size(F.col("w")[0]) + F.size(F.col("w")[1]) - F.col("both"))
+    return cut_lineage(both.where(enough).select("a", "b"))
 
 
 def _close(odd: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -240,33 +287,42 @@ def similar_roots(rows: DataFrame, docs: DataFrame, text_col: str = "text", tile
     least = rows.groupBy("key").agg(F.min("at").alias("least"), F.count(F.lit(1)).alias("all")).where("all > 1")
     again = cut_lineage(rows.select("key", "at").join(least, "key").where("at <> least").select("at"))
     whole = rows.join(small_side(again, WANTED), "at", "left_anti")
-    nodes = cut_lineage(whole.select("key", "text_hash", "n", "odd"))
-    tokens = whole.select("key", "n", F.explode("first").alias("token"))
-    # buckets of the same sets (by number and exclusive-or of their 64-bit keys) are one bucket
+    names = cut_lineage(whole.select("key", "text_hash"))
+    own = F.struct("key", "n", "odd", "first")
+    parts = whole.select(F.col("key").alias("owner"), F.explode(F.concat(F.array(own), "parts")).alias("p")).select("owner", "p.*").where(F.size("first") > 0)
+    nodes = cut_lineage(parts.select("owner", "key", "n", "odd"))
+    tokens = parts.select("owner", "key", "n", F.explode("first").alias("token"))
+    # buckets of the same pieces (by number and exclusive-or of their 64-bit keys) are one bucket
     many = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("all"), F.bit_xor("key").alias("sets")).where("all > 1")
     many = cut_lineage(many.groupBy("all", "sets").agg(F.min("token").alias("token")).select("token"))
     release(rows.sparkSession)
     shared = cut_lineage(tokens.join(small_side(many, WANTED), "token"))
-    held, edges, tried = shared.withColumn("root", F.col("key")), None, None
+    held, edges, tried = shared.withColumn("root", F.col("owner")).withColumn("all", F.lit(0)), None, None
     for turn in range(ROUNDS):
-        place = F.xxhash64("key", F.pmod("token", F.lit(PIVOTS)), F.lit(turn))
-        pivots = held.groupBy("token").agg(F.min(F.struct(place, "key", "n", "root")).alias("p"))
+        place = F.xxhash64("key", F.pmod("token", F.lit(PIVOTS)) if turn == 0 else F.col("token"), F.lit(turn))
+        turns = F.when(F.col("all") > LARGE, F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(MANY))).otherwise(0)
+        pivots = held.groupBy("token", turns.alias("turn")).agg(F.min(F.struct(place, "key", "n", "root")).alias("p"))
         pivots = pivots.select("token", F.col("p.key").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.root").alias("pivot_root"))
         pairs = held.join(pivots, "token").where("root <> pivot_root").where(_near_sizes("n", "pivot_n")).select(*_ordered("key", "pivot")).distinct()
+        pairs = _possible(pairs, nodes)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut_lineage(_possible(pairs, nodes))
-        found = _similar(pairs, nodes, docs, text_col)
+        pairs = cut_lineage(pairs)
+        release(rows.sparkSession)
+        found = _similar(pairs, names, docs, text_col)
         edges, tried = (found, pairs) if edges is None else (edges.unionByName(found), tried.unionByName(pairs))
         release(rows.sparkSession)
         roots = small_side(components(edges))
-        held = shared.join(roots, F.col("key") == F.col("node"), "left").select("token", "key", "n", F.coalesce("root", "key").alias("root"))
-        apart = held.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("token")
+        held = shared.join(roots, F.col("owner") == F.col("node"), "left").select("token", "owner", "key", "n", F.coalesce("root", "owner").alias("root"))
+        apart = held.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("all")).where("least <> most").select("token", "all")
         held = cut_lineage(held.join(apart, "token"))
         release(rows.sparkSession)
-    pairs = cut_lineage(_tiled_pairs(held, nodes, tile).join(tried, ["a", "b"], "left_anti"))
+    pairs = _tiled_pairs(held.select("token", "key", "n", "root"), nodes, tile)
+    for c in "ab":
+        pairs = pairs.join(nodes.select(F.col("key").alias(c), F.col("owner").alias(f"own_{c}")), c)
+    pairs = cut_lineage(pairs.select(*_ordered("own_a", "own_b")).distinct().join(tried, ["a", "b"], "left_anti"))
     release(rows.sparkSession)
-    edges = edges.unionByName(_similar(pairs, nodes, docs, text_col))
+    edges = edges.unionByName(_similar(pairs, names, docs, text_col))
     release(rows.sparkSession)
     return components(edges)
 

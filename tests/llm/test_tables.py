@@ -430,6 +430,29 @@ def test_tiles_find_what_brute_force_finds(spark):
     assert 100 < len(expected) < 7000
 
 
+def test_long_texts_are_compared_by_pieces(spark, monkeypatch):
+    import random
+
+    rng, tried = random.Random(5), []
+    real = simhash_similar._similar
+
+    def counted(pairs, *rest):
+        tried.append(pairs.count())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(simhash_similar, "_similar", counted)
+    texts = []
+    for k in range(10):  # any two share a passage of their own
+        own = [f"w{rng.getrandbits(40)}" for _ in range(4500)]
+        texts.append(" ".join(own + [f"p{min(k, i)}.{max(k, i)}.{w}" for i in range(10) if i != k for w in range(12)]))
+    for n in (1000, 4000):  # around the sizes where the number of pieces changes
+        own = [f"v{rng.getrandbits(40)}" for _ in range(n)]
+        texts += [" ".join(own), " ".join(own + [f"x{k}" for k in range(n // 5)]), " ".join(w if k % 15 else "y" + w for k, w in enumerate(own))]
+    kept = simhash_similar.drop_near_duplicates(spark.createDataFrame(rows(*texts), SCHEMA))
+    assert sorted({*range(len(texts))} - {r.doc_id for r in kept.collect()}) == [11, 14]
+    assert sum(tried) <= 4  # unlike long texts aren't verified
+
+
 def test_hot_buckets_are_tiled_without_losing_links(spark):
     import random
 
