@@ -137,3 +137,12 @@ def test_token_tables_round_trip(spark):
     tokens = streamops.tokens_of(df)
     assert {(r.seg_id, r.pos, r.surface, r.unknown) for r in tokens.collect()} == {(0, 0, "a", False), (0, 1, None, False), (1, 0, None, False), (2, 0, "d", True), (2, 1, None, False)}
     assert {r.seg_id: r.stream for r in streamops.streams_of(tokens, ["seg_id"]).collect()} == {k: t for k, t in enumerate(texts) if t is not None}
+
+
+def test_token_tables_leave_in_small_batches(spark):
+    rows = [(k, ["x", None], "^a/b<n>$ ^c/d<n>+e<po># q$ " * 50 if k % 2 else None) for k in range(40)]
+    tokens = streamops.tokens_of(spark.createDataFrame(rows, "seg_id long, other array<string>, stream string"))
+    assert "Generate" not in tokens._jdf.queryExecution().executedPlan().toString()  # no row holds all units of a batch's texts
+    found = tokens.where("pos = 1").collect()
+    assert sorted(r.seg_id for r in found) == list(range(1, 40, 2)) and tokens.count() == 20 * 101
+    assert found[0].other == ["x", None] and [(m.lemma, m.tags, m.queue) for m in found[0].readings[0].morphemes] == [("d", ["n"], "# q"), ("e", ["po"], "")]
