@@ -222,6 +222,29 @@ def test_toxicity_without_pruning_is_kneser_ney(spark):
         assert math.isclose(model.evidence(" ".join(t)) + model.constant, expected, rel_tol=1e-9, abs_tol=1e-9)
 
 
+def test_toxicity_learns_beginnings_of_forms_and_no_copied_passages(spark):
+    import random
+
+    rng = random.Random(5)
+    word = lambda a, n: "".join(rng.choices(a, k=n))
+    plain = [word("abcdefgh", rng.randrange(2, 7)) for _ in range(400)]
+    copied = [word("lmnop", 6) for _ in range(20)]  # stands in texts labelled toxic alike, says nothing by itself
+    data, marks = [], []
+    for k in range(500):
+        toxic = k % 5 == 0
+        own = rng.choices(plain, k=30)
+        for at in rng.sample(range(30), 3 if toxic else 0):
+            own[at] = rng.choice(["vork", "zülp"]) + word("qrstuvwxyz", 4)  # hardly a form comes twice
+        data += rows(" ".join(own + copied if k % 25 == 0 else own), first=k)
+        marks.append((k, int(toxic)))
+    docs, labelled = spark.createDataFrame(data, SCHEMA), spark.createDataFrame(marks, "doc_id long, toxic int")
+    model = toxicity.fit(docs, labelled)
+    # only the ends of the passage have different neighbours
+    assert not set(model.words) & {w.encode() for w in copied[1:-1]} and not set(model.pairs) & {(v.encode(), w.encode()) for v, w in zip(copied[1:], copied[2:-1])}
+    got = {r.doc_id: r for r in toxicity.score_documents(docs, labelled).where("held_out").collect()}
+    assert len(got) > 60 and all(got[k].predicted == t for k, t in marks if k in got)
+
+
 def test_toxicity_of_odd_rows(odd, none, labels, spark):
     got = toxicity.score_documents(odd, labels).collect()
     assert len(got) == odd.count() and all(r.predicted == 0 and 0 <= r.score <= 1 for r in got)
