@@ -177,6 +177,24 @@ def sentences(words):
         yield f"^we/we<prn>$ {unit(x)} ^the/the<det>$ {unit(y)} ^./.<sent>$", f"^we/we<prn>$ ^{x}/{x}<vblex>$ ^the/the<det>$ ^{y}/{y}<n>$ ^./.<sent>$"
 
 
+def test_perceptron_remembers_scores_without_changing_them():
+    import random
+
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abc", k=rng.randrange(1, 4)))
+    tags = lambda: "".join(f"/{word()}<{rng.choice('nvaq')}>" + ("+x<p>" if rng.random() < 0.2 else "") for _ in range(rng.randrange(4))) or "/*?"
+    lines = [" ".join(f"^{word()}{tags()}$" for _ in range(rng.randrange(1, 9))) for _ in range(150)]
+    read = [perceptron.sentence_of(x) for x in lines]
+    model = perceptron.train([(s, [rng.choice(t.analyses) if t.analyses else () for t in s]) for s in read], perceptron.Templates(perceptron.DEFAULT), 2)
+    plain = [model.beam(s)[0] for s in read]
+    assert [model.tag(s) for s in read] == plain
+    calls = []
+    model.score = lambda *a: calls.append(a) or 0.0
+    assert [model.tag(s) for s in read] == plain and not calls
+    far = perceptron.Templates('<metatag><feat><out><ex-coarse/></out><out><ex-surf><int v="0"/></ex-surf></out></feat></metatag>')
+    assert not perceptron.Near.fits(far) and perceptron.Near.fits(model.templates)
+
+
 def test_perceptron_learns_its_corpus(spark):
     corpus = list(sentences(["run", "walk", "play", "work"]))
     pairs = [(perceptron.sentence_of(u), perceptron.gold_of(t)) for u, t in corpus]
