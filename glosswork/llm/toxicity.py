@@ -54,6 +54,8 @@ FOLDS = 5
 START, GRAMS = b"", ["head", "word", "toxic", "ordinary", "toxic_texts", "ordinary_texts", "toxic_before", "ordinary_before", "toxic_after", "ordinary_after"]
 #: Letters of a beginning, the mark after one (no letter), and bits of the set of what stands beside an expression.
 SHORTEST, LONGEST, CUT, BITS = 3, 8, b"*", 61
+#: Grams that a worker counts before it hands them on, words whose evidence and words whose beginnings it remembers.
+HELD, KNOWN, CACHED = 40_000, 40_000, 10_000
 
 _WORD = re.compile(rb"[^ ]+")
 _BLANKED = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
@@ -64,9 +66,11 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().translate(_BLANKED).split()
 
 
-@lru_cache(200_000)
+@lru_cache(CACHED)
 def beginnings(word: bytes) -> tuple[bytes, ...]:
     """The marked beginnings of a word, the longest first."""
+    if word.isascii():
+        return tuple([word[:k] + CUT for k in range(min(len(word), LONGEST), SHORTEST - 1, -1)])
     letters = word.decode()
     return tuple(letters[:k].encode() + CUT for k in range(min(len(letters), LONGEST), SHORTEST - 1, -1))
 
@@ -113,9 +117,10 @@ class Model:
     offset: float = -5.0
     stems: dict[bytes, float] = field(default_factory=dict)
     seen: dict[bytes, float] = field(default_factory=dict, repr=False, compare=False)
+    firsts: frozenset[bytes] = field(default=frozenset(), repr=False, compare=False)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"seen": {}}
+        return self.__dict__ | {"seen": {}, "firsts": frozenset()}
 
     def alone(self, word: bytes) -> float:
         """What a word says by itself."""
@@ -131,10 +136,13 @@ class Model:
         known, heads, pairs = self.words, self.heads, self.pairs
         if self.stems:
             known = self.seen
-            if len(known) > 500_000:
+            if len(known) > KNOWN:
                 known.clear()
+            # a beginning has as many bytes as letters at least, so most words need no look at theirs, nor a place
+            firsts = self.firsts = self.firsts or frozenset(b[:SHORTEST] for b in self.stems)
             for w in set(own).difference(known):
-                known[w] = self.alone(w)
+                if w in self.words or w[:SHORTEST] in firsts:
+                    known[w] = self.alone(w)
         total = math.fsum([known[w] for w in own if w in known])
         if heads:
             total += math.fsum([pairs.get((v, w), heads[v]) for v, w in zip(chain((START,), own), own) if v in heads])
@@ -197,7 +205,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held[at + 2] += 1
                 held[at + 4] |= left
                 held[at + 6] |= right
-            if len(found) > 300_000:
+            if len(found) > HELD:
                 yield from drain()
     yield from drain()
 

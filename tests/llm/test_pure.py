@@ -207,6 +207,38 @@ def test_evidence_is_length_normalised():
     assert model.score(np.array([0.0]))[0] < 0.5 < model.score(np.array([2.0]))[0] <= 1
 
 
+def test_toxicity_holds_little_of_many_different_words():
+    import random
+    import tracemalloc
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrst", k=8))
+    texts = [" ".join(word() for _ in range(200)) + " zülpe vorka" for _ in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([k % 2 for k in range(200)])], names=["text", "toxic"])
+    once, counted = {}, 0
+    tracemalloc.start()
+    try:
+        for out in toxicity._counts(iter([batch])):
+            counted += sum(out.column(2).to_pylist()) + sum(out.column(3).to_pylist())
+            for v, w, n in zip(*(out.column(k).to_pylist() for k in (0, 1, 2))):
+                if w in (b"vorka", "zül*".encode()):
+                    once[v, w] = once.get((v, w), 0) + n
+            del out
+        most = tracemalloc.get_traced_memory()[1]
+        # nothing is left out: each word by itself and after the one before it, and all its beginnings
+        assert once == {(None, b"vorka"): 100, ("zülpe".encode(), b"vorka"): 100, (None, "zül*".encode()): 100}
+        assert counted == 200 * (202 * 2 + 200 * 6 + 3 + 3)
+        model = toxicity.Model({b"vorka": 2.0}, {}, {}, 0.0, 1.0, 0.0, {t.split()[0][:3].encode() + b"*": 1.0 for t in texts} | {"zül*".encode(): 0.5})
+        tracemalloc.reset_peak()
+        for t in texts:
+            expected = math.fsum(model.alone(w) for w in toxicity.words_of(t)) / 202
+            assert math.isclose(model.evidence(t), expected, rel_tol=1e-12) and expected > 0
+        assert max(most, tracemalloc.get_traced_memory()[1]) < 60e6
+    finally:
+        tracemalloc.stop()
+    assert len(model.seen) < 10_000
+
+
 def test_wand_equals_exhaustive_scores():
     rng = np.random.default_rng(7)
     vocabulary = [f"w{i}" for i in range(60)]
